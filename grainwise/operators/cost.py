@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.functions.stats import pearson
-from grainwise.plans.ordering import exact_percentiles
+from grainwise.plans.ordering import exact_percentiles, with_position
 from grainwise.plans.scratch import join_on_keys
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -186,21 +186,23 @@ def align_entities(
 ) -> DataFrame:
     """Entity series on the dataset's own dates, zero-filled between first and last day.
 
-    The calendar is the set of dates that occur anywhere in the data. It is held as one
-    sorted array in a scalar subquery and sliced per entity, which replaces a range join.
+    The calendar is the set of dates that occur anywhere in the data, numbered in order.
+    Each observation fills the calendar days up to the next one of its entity, so there is
+    no range join and no join back to the observations.
     """
     keys = list(entity_cols)
     chosen = df
     for column, value in (entity_filter or {}).items():
         chosen = chosen.where(F.col(column) == F.lit(value))
     series = chosen.groupBy(*keys, date_col).agg(F.sum(metric_col).alias("__value"))
-    spans = series.groupBy(*keys).agg(F.min(date_col).alias("__first"), F.max(date_col).alias("__last"))
-    calendar = df.select(date_col).distinct().agg(F.sort_array(F.collect_set(date_col)).alias("d")).scalar()
-    active = F.filter(calendar, lambda d: (d >= F.col("__first")) & (d <= F.col("__last")))
-    spine = spans.select(*keys, F.explode(active).alias(date_col))
-    return join_on_keys(spine, series, [*keys, date_col], "left").select(
-        *keys, date_col, F.coalesce("__value", F.lit(0)).alias(output_col)
-    )
+    calendar = with_position(df.select(date_col).distinct(), [], [date_col], pos="__day")
+    # One row per entity and date: a window partition is as long as the calendar.
+    following = F.lead("__day").over(Window.partitionBy(*keys).orderBy("__day"))
+    placed = join_on_keys(series, calendar, [date_col]).withColumn("__next", following)
+    days = F.sequence("__day", F.greatest(F.col("__next") - 1, F.col("__day")))
+    filled = placed.select(*keys, F.col("__day").alias("__from"), "__value", F.explode(days).alias("__day"))
+    value = F.when(F.col("__day") == F.col("__from"), F.coalesce("__value", F.lit(0))).otherwise(F.lit(0))
+    return join_on_keys(filled, calendar, ["__day"]).select(*keys, date_col, value.alias(output_col))
 
 
 def contribution_stack(aligned: DataFrame, entity_col: str, date_col: str, metric_col: str, entities: Sequence) -> DataFrame:

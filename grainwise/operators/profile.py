@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,9 +204,62 @@ def selected_columns(flagged: DataFrame) -> tuple[list[str], list[str]]:
 def pairwise_correlations(
     df: DataFrame, columns: Sequence[str] | None = None, group_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """Pearson correlation of every pair of columns, long form, in one aggregation."""
-    pairs = list(combinations(columns or numeric_columns(df), 2))
-    return correlations_of(df, pairs, group_cols)
+    """Pearson correlation of every pair of columns, long form, in one aggregation.
+
+    A handful of pairs is a plain aggregate. Beyond that, generated aggregate code grows
+    with the square of the columns, so the co-moments of all pairs are taken as matrix
+    products per Arrow batch and one row per pair leaves each task.
+    """
+    names = list(columns or numeric_columns(df))
+    pairs = list(combinations(names, 2))
+    if group_cols or len(pairs) <= WIDE_PAIRS:
+        return correlations_of(df, pairs, group_cols)
+    return _matrix_correlations(df, names)
+
+
+WIDE_PAIRS = 6
+
+
+def _matrix_correlations(df: DataFrame, names: list[str]) -> DataFrame:
+    # Centring constants: one number per column. A constant column is shifted to exact zeros.
+    doubles = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)))
+    centre = doubles.agg(
+        *(F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in doubles.columns)
+    ).first()
+    shift = np.array([np.nan if v is None else v for v in centre])
+    first, second = np.triu_indices(len(names), 1)
+
+    def co_moments(batches):
+        k = len(shift)
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            n += known.T @ known
+            sx += x.T @ known
+            sxx += (x * x).T @ known
+            sxy += x.T @ x
+        cells = {"n": n[first, second], "sxy": sxy[first, second]}
+        cells |= {"sx": sx[first, second], "sxx": sxx[first, second]}
+        cells |= {"sy": sx[second, first], "syy": sxx[second, first]}
+        yield pa.RecordBatch.from_pydict({"i": first.astype("int32"), "j": second.astype("int32"), **cells})
+
+    sums = ["n", "sxy", "sx", "sxx", "sy", "syy"]
+    partial = doubles.mapInArrow(co_moments, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    total = partial.select("i", "j", *sums).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in sums))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    var_x = F.col("sxx") - F.try_divide(sx * sx, n)
+    var_y = F.col("syy") - F.try_divide(sy * sy, n)
+    # Rounding noise of a column that is constant on the shared rows does not count as variance.
+    varies = (var_x > 1e-12 * F.col("sxx")) & (var_y > 1e-12 * F.col("syy"))
+    covariance = F.col("sxy") - F.try_divide(sx * sy, n)
+    labels = F.array(*(F.lit(c) for c in names))
+    return total.select(
+        F.element_at(labels, F.col("i") + 1).alias("col1"),
+        F.element_at(labels, F.col("j") + 1).alias("col2"),
+        F.when(varies, covariance / F.sqrt(var_x * var_y)).alias("correlation"),
+    )
 
 
 def correlations_of(df: DataFrame, pairs: Sequence[tuple[str, str]], group_cols: Sequence[str] = ()) -> DataFrame:
