@@ -15,8 +15,9 @@ from grainwise.plans.scratch import join_on_keys
 def _slices(value_cols: Sequence[str], length: int, spec) -> dict[str, Column]:
     """Arrays of the next ``length`` values, NULLs kept (collect_list alone drops them)."""
     frame = spec.rowsBetween(0, length - 1)
+    # Reading a field of an array of structs gives the array of that field.
     rows = F.collect_list(F.struct(*value_cols)).over(frame)
-    return {f"__{c}": F.transform(rows, lambda row, c=c: row.getField(c)) for c in value_cols}
+    return {f"__{c}": rows.getField(c) for c in value_cols}
 
 
 def forecast_sequences(
