@@ -70,7 +70,11 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource metrics: utilisation and cost per user and event."""
-    return table(spark, sf_dir, "events").select(
+    return metrics_of(table(spark, sf_dir, "events"))
+
+
+def metrics_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").cast("string").alias("resource_id"),
         F.col("ts").alias("timestamp"),
         "event_id",
