@@ -96,24 +96,23 @@ PERCENTILES = (0, 1, 10, 25, 50, 75, 90, 99, 100)
 def cost_distribution_metrics(df: DataFrame, cost_col: str) -> DataFrame:
     """Percentiles, skewness, IQR outliers and a modelling recommendation; one row.
 
-    Skewness divides the third central moment by the cube of the sample deviation. It is
-    taken around the mean in a second pass, since raw power sums would cancel badly.
+    Skewness divides the third central moment by the cube of the sample deviation; that is
+    the built-in population skewness times ((n - 1) / n) ** 1.5.
     """
     names = {f"p{p}": p / 100 for p in PERCENTILES}
     quantiles = exact_percentiles(df, [], cost_col, names)
     q = quantiles.agg(F.first(F.struct("*")).alias("q")).scalar()
-    moments = df.agg(F.struct(F.avg(cost_col).alias("mean"), F.stddev(cost_col).alias("std")).alias("m")).scalar()
-    low = q.getField("p25") - 1.5 * (q.getField("p75") - q.getField("p25"))
-    high = q.getField("p75") + 1.5 * (q.getField("p75") - q.getField("p25"))
-    centred = F.col(cost_col) - moments.getField("mean")
+    reach = 1.5 * (q.getField("p75") - q.getField("p25"))
+    low, high = q.getField("p25") - reach, q.getField("p75") + reach
     counted = df.agg(
-        F.avg(centred * centred * centred).alias("m3"),
-        F.first(moments.getField("std")).alias("std"),
+        F.skewness(cost_col).alias("population_skew"),
+        F.count(cost_col).cast("double").alias("known"),
         F.count_if((F.col(cost_col) < low) | (F.col(cost_col) > high)).alias("outlier_count_iqr"),
         F.count(F.lit(1)).alias("n"),
         F.first(q).alias("q"),
     )
-    skew = F.coalesce(F.try_divide(F.col("m3"), F.col("std") * F.col("std") * F.col("std")), F.lit(0.0))
+    shrink = F.pow(F.try_divide(F.col("known") - 1, "known"), F.lit(1.5))
+    skew = F.coalesce(F.nanvl(F.col("population_skew"), F.lit(0.0)) * shrink, F.lit(0.0))
     share = F.try_divide(F.col("outlier_count_iqr"), F.col("n")) * 100
     advice = F.when(skew > 1, "log_transform").when(share > 10, "robust").otherwise("linear")
     return counted.select(

@@ -27,41 +27,56 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _text(field: T.StructField) -> Column:
-    """Stable text form of a value of any type."""
-    column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        return F.to_json(F.struct(column.alias("v")))
-    return column.cast("string")
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _typed(field: T.StructField) -> tuple[Column, Column, Column]:
+    """The value as (bigint, double, text), two of them NULL; no number is printed here."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(kind, WHOLE):
+        whole = column.cast("bigint")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        real = column.cast("double")
+    else:
+        nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+        text = F.to_json(F.struct(column.alias("v"))) if nested else column.cast("string")
+        # Long texts are compared by digest; their beginning travels along as a sample.
+        digest = F.concat(F.md5(text), F.lit(":"), F.substring(text, 1, 50))
+        text = F.when(F.length(text) > DIGEST_OVER, F.rpad(digest, DIGEST_OVER + 19, " ")).otherwise(text)
+    return whole, real, text
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Long table (column, dtype, value, is_zero, n): occurrences of each value per column.
+    """Long table (column, dtype, value, sample, is_zero, n): occurrences per column and value.
 
-    All columns are counted in a single shuffle. Long texts are compared by digest while
-    their first 50 characters travel along as a sample, so a shuffle record stays small.
+    All columns are counted in a single shuffle on typed values. Texts longer than 64
+    characters are identified by their digest.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     entries = []
-    for field in fields:
-        value = _text(field)
-        zero = (
-            F.coalesce(F.col(f"`{field.name}`") == 0, F.lit(False))
-            if isinstance(field.dataType, T.NumericType)
-            else F.lit(False)
-        )
-        short = F.length(value) <= DIGEST_OVER
+    for i, field in enumerate(fields):
+        whole, real, text = _typed(field)
         entries.append(
-            F.struct(
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("dtype"),
-                F.when(value.isNull() | short, value).otherwise(F.concat(F.lit("md5:"), F.md5(value))).alias("value"),
-                F.substring(value, 1, 50).alias("sample"),
-                zero.alias("is_zero"),
-            )
+            F.struct(F.lit(i).alias("at"), whole.alias("whole"), real.alias("real"), text.alias("text"))
         )
     long = df.select(F.inline(F.array(*entries)))
-    return long.groupBy("column", "dtype", "value", "sample", "is_zero").agg(F.count(F.lit(1)).alias("n"))
+    counts = long.groupBy("at", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+    digested = F.length("text") > DIGEST_OVER
+    names, kinds = F.array(*(F.lit(f.name) for f in fields)), F.array(*(F.lit(f.dataType.simpleString()) for f in fields))
+    decimals = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.DecimalType)]
+    value = F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text"))
+    zero = (F.col("whole") == 0) | (F.col("real") == 0)
+    if decimals:
+        zero = zero | (F.col("at").isin(decimals) & (F.col("text").try_cast("double") == 0))
+    return counts.select(
+        F.element_at(names, F.col("at") + 1).alias("column"),
+        F.element_at(kinds, F.col("at") + 1).alias("dtype"),
+        value.alias("value"),
+        F.when(digested, F.rtrim(F.substring("text", 34, 50))).otherwise(F.substring(value, 1, 50)).alias("sample"),
+        F.coalesce(zero, F.lit(False)).alias("is_zero"),
+        "n",
+    )
 
 
 def attribute_analysis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -313,23 +328,26 @@ def correlation_matrix(correlations: DataFrame, columns: Sequence[str]) -> DataF
 def numeric_column_summary(df: DataFrame, null_threshold: float = 95.0) -> DataFrame:
     """NULL share, distinct values, quartiles and moments of the numeric columns.
 
-    The columns are unpivoted once; the column name then is the group.
+    The columns are unpivoted once and equal values merged; everything else, quartiles
+    included, is computed on the counted values.
     """
     names = numeric_columns(df)
-    long = df.select(F.inline(F.array(*(
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in names
-    ))))
+    entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in names]
+    long = df.select(F.inline(F.array(*entries)))
     base = long.groupBy("column").agg(
         F.try_divide(F.count_if(F.col("value").isNull()) * 100.0, F.count(F.lit(1))).alias("null_pct"),
-        F.count_distinct("value").alias("unique"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.avg("value").alias("mean"),
         F.stddev("value").alias("std"),
     )
-    quartiles = exact_percentiles(long, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    quartiles = exact_percentiles(
+        long, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, distinct="unique"
+    )
     joined = join_on_keys(base.where(F.col("null_pct") <= null_threshold), quartiles, ["column"], "left")
-    return joined.withColumn("null_pct", F.round("null_pct", 2))
+    return joined.withColumns(
+        {"null_pct": F.round("null_pct", 2), "unique": F.coalesce("unique", F.lit(0).cast("bigint"))}
+    )
 
 
 def categorical_column_summary(df: DataFrame, null_threshold: float = 95.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainwise.plans.ordering import BLOCK_ROWS, ordered_windows, with_blocks, with_position
+from grainwise.plans.ordering import BLOCK_ROWS, map_pieces, ordered_windows, with_blocks, with_position
 from grainwise.plans.scratch import join_on_keys
 
 
@@ -53,28 +53,15 @@ def autocorrelation(
     x = _centred(df, keys, order, value_col)
     blocks = with_blocks(x, before=0, after=max_lag, size=max(block_rows, max_lag))
 
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        own = pdf.loc[pdf["__home"], "x"].to_numpy()
-        n = int(pdf["n"].iloc[0])
-        lags = min(max_lag, n // 2)
-        ahead = pdf["x"].to_numpy()[: len(own) + lags]
-        ahead = np.concatenate([ahead, np.zeros(len(own) + lags - len(ahead))])
-        sums = np.correlate(ahead, own, "valid")
-        out = pd.DataFrame({"lag": np.arange(lags + 1, dtype="int32"), "s": sums})
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out.assign(n=n)[[*keys, "lag", "s", "n"]]
+    def products(piece: pd.DataFrame) -> dict[str, np.ndarray]:
+        x, home = piece["x"].to_numpy(), piece["__home"].to_numpy()
+        n = int(piece["n"].iloc[0])
+        own, lags = x[home], min(max_lag, n // 2)
+        ahead = np.zeros(len(own) + lags)
+        ahead[: min(len(x), len(ahead))] = x[: len(ahead)]
+        return {"lag": np.arange(lags + 1), "s": np.correlate(ahead, own, "valid"), "n": np.full(lags + 1, n)}
 
-    schema = T.StructType(
-        [
-            *_keys_schema(x, keys),
-            T.StructField("lag", T.IntegerType()),
-            T.StructField("s", T.DoubleType()),
-            T.StructField("n", T.LongType()),
-        ]
-    )
-    partial = blocks.groupBy(*keys, "__block").applyInPandas(products, schema)
+    partial = map_pieces(blocks, keys, products, "lag int, s double, n bigint")
     summed = partial.groupBy(*keys, "lag").agg(F.sum("s").alias("s"), F.max("n").alias("n"))
     # At most max_lag + 1 rows per series.
     at_zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy(*keys))
@@ -380,26 +367,15 @@ def adf_test(
     reach = adf_lags(longest, max_lag) + 1
     blocks = with_blocks(x, before=reach, after=0, size=max(block_rows, reach))
 
-    def cross_products(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        lags = adf_lags(int(pdf["n"].iloc[0]), max_lag)
-        pos = pdf["pos"].to_numpy()
-        at = np.flatnonzero(pdf["__home"].to_numpy() & (pos > lags))
-        if len(at) == 0:
-            return pd.DataFrame({"cell": [], "s": [], **{k: [] for k in keys}})[[*keys, "cell", "s"]]
-        rows = _design(pdf["x"].to_numpy(), at, lags)
+    def cross_products(piece: pd.DataFrame) -> dict[str, np.ndarray]:
+        lags, pos = adf_lags(int(piece["n"].iloc[0]), max_lag), piece["pos"].to_numpy()
+        at = np.flatnonzero(piece["__home"].to_numpy() & (pos > lags))
+        rows = _design(piece["x"].to_numpy(), at, lags)
         gram = (rows.T @ rows).ravel()
-        out = pd.DataFrame({"cell": np.arange(len(gram), dtype="int32"), "s": gram})
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "cell", "s"]]
+        return {"cell": np.arange(len(gram)), "s": gram}
 
-    schema = T.StructType(
-        [*_keys_schema(x, keys), T.StructField("cell", T.IntegerType()), T.StructField("s", T.DoubleType())]
-    )
     cells = (
-        blocks.groupBy(*keys, "__block")
-        .applyInPandas(cross_products, schema)
+        map_pieces(blocks, keys, cross_products, "cell int, s double")
         .groupBy(*keys, "cell")
         .agg(F.sum("s").alias("s"))
     )

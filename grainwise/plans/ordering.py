@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainwise.plans.scratch import fits_one_task, join_on_keys, materialize
 
@@ -76,16 +79,18 @@ def prefix_sums(
     order: Sequence[str | Column],
     sums: Mapping[str, str],
     totals: Mapping[str, str] | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per series.
 
     ``sums`` maps new column to source column; ``totals`` maps new column to the source
-    column whose whole-series sum it receives.
+    column whose whole-series sum it receives. ``bounded`` carries over the result of a
+    size check that was already made.
     """
     totals = dict(totals or {})
     running = {f"__run_{i}": source for i, source in enumerate(dict.fromkeys(sums.values()))}
     whole = Window.partitionBy(*keys)
-    if fits_one_task(df, keys):
+    if fits_one_task(df, keys) if bounded is None else bounded:
         to_here = whole.orderBy(*_as_sort(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns(
             {
@@ -179,42 +184,96 @@ def ordered_windows(
     return out if pos else out.drop(at)
 
 
+def map_pieces(
+    df: DataFrame,
+    keys: Sequence[str],
+    fn: Callable[[pd.DataFrame], Mapping[str, np.ndarray]],
+    schema: str,
+    pos: str = "pos",
+) -> DataFrame:
+    """Run ``fn`` on every (keys, block) piece of ``with_blocks``; returns keys plus ``schema``.
+
+    Pieces are clustered and sorted by Spark and streamed through each task, so a task
+    holds one Arrow batch and one piece, and many short series share a task without the
+    cost of a group each.
+    """
+    keys = list(keys)
+    columns = df.columns
+    marked = (
+        df.withColumn("__piece", F.xxhash64(*keys, _BLOCK))
+        .repartition(*keys, _BLOCK)
+        .sortWithinPartitions(*keys, _BLOCK, pos)
+    )
+    fields = T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(schema).fields])
+    names = fields.names
+
+    def result(piece: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(fn(piece))
+        for key in keys:
+            out[key] = piece[key].iloc[0]
+        return out[names]
+
+    def run(batches):
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            ids = rows["__piece"].to_numpy()
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1)]
+            done = [result(rows.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            rest = rows.iloc[edges[-1] :] if len(rows) else None
+        if rest is not None and len(rest):
+            yield result(rest)
+
+    return marked.select("__piece", *columns).mapInPandas(run, fields)
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
+    distinct: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles per group, one column per entry of ``probs``.
 
-    Small groups use the built-in aggregate. Beyond the bound, equal values are first
-    merged into counts and the wanted ranks are located by distributed prefix sums.
+    Equal values are merged into counts, and the wanted ranks are located on running
+    counts, which are distributed for groups beyond the bound. ``distinct`` names an
+    output column for the number of different values.
     """
-    present = df.where(F.col(value).isNotNull())
-    if fits_one_task(present, keys):
-        return present.groupBy(*keys).agg(*(F.percentile(value, p).alias(name) for name, p in probs.items()))
+    present = df.where(F.col(value).isNotNull()).select(*keys, value)
     counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = prefix_sums(counted, keys, [value], {"__upto": "__c"}, {"__n": "__c"})
-    first = F.col("__upto") - F.col("__c")
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("__upto")), F.col(value).cast("double")))
-
-    aggregates: list[Column] = []
-    for name, p in probs.items():
-        target = (F.col("__n") - 1) * F.lit(p)
-        aggregates += [
-            at_rank(F.floor(target)).alias(f"__lo_{name}"),
-            at_rank(F.ceil(target)).alias(f"__hi_{name}"),
-        ]
-    picked = ranked.groupBy(*keys).agg(F.max("__n").alias("__n"), *aggregates)
-
-    def between(name: str, p: float) -> Column:
-        target = (F.col("__n") - 1) * F.lit(p)
-        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        return low + (target - F.floor(target)) * (high - low)
-
-    return picked.select(*keys, *(between(name, p).alias(name) for name, p in probs.items()))
+    bounded = fits_one_task(present, keys)
+    if not bounded:
+        # Merged counts may be few although the rows are many, so look again. They are
+        # written once rather than computed for the look and again for the use.
+        counted = materialize(counted)
+        bounded = fits_one_task(counted, keys)
+    totals = {"__n": "__c"}
+    if distinct:
+        counted, totals = counted.withColumn("__one", F.lit(1).cast("bigint")), {**totals, distinct: "__one"}
+    ranked = prefix_sums(counted, keys, [value], {"__upto": "__c"}, totals, bounded)
+    targets = {name: f"((__n - 1) * {p!r}D)" for name, p in probs.items()}
+    # Only the rows that hold a wanted rank go on: at most two per group and percentile.
+    # A short array test keeps the generated code of this step small.
+    hit = F.expr(f"exists(array({', '.join(targets.values())}), t -> floor(t) < __upto AND ceil(t) >= __upto - __c)")
+
+    def at_rank(rank: str) -> str:
+        return f"max(CASE WHEN __upto - __c <= {rank} AND {rank} < __upto THEN CAST(`{value}` AS DOUBLE) END)"
+
+    aggregates = [
+        F.expr(f"{at_rank(f'{fn}{t}')} AS `__{fn}_{name}`") for name, t in targets.items() for fn in ("floor", "ceil")
+    ]
+    sizes = [F.max(name).alias(name) for name in totals]
+    picked = ranked.where(hit).groupBy(*keys).agg(*sizes, *aggregates)
+    interpolated = [
+        F.expr(
+            f"`__floor_{name}` + ({t} - floor{t}) * (`__ceil_{name}` - `__floor_{name}`) AS `{name}`"
+        )
+        for name, t in targets.items()
+    ]
+    return picked.select(*keys, *interpolated, *([distinct] if distinct else []))
 
 
 def hash_order(columns: Sequence[str], seed: int) -> Column:
