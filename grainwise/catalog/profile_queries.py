@@ -44,8 +44,9 @@ PROFILE = """p AS (SELECT "column", dtype, sum(n) AS rows,
     count(*) * 1.0 / sum(n) AS c, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM vc GROUP BY ALL),
   s AS (SELECT *, 4.0 / (1 / (d + 1e-10) + 1 / (z + 1e-10) + 1 / (c + 1e-10) + 1 / (greatest(h, 0) + 1e-10)) AS score
     FROM p)"""
-PROFILE_OUT = f""""column", dtype, {r('d', 'value_density')}, {r('z', 'nonzero_density')},
-  {r('c', 'cardinality_ratio')}, {r('greatest(h, 0)', 'entropy', 4)}, {r('score', 'information_score')}"""
+# These columns are rounded by the operator itself, hence no tie shift here.
+PROFILE_OUT = """"column", dtype, round(d, 6) AS value_density, round(z, 6) AS nonzero_density,
+  round(c, 6) AS cardinality_ratio, round(greatest(h, 0), 4) AS entropy, round(score, 6) AS information_score"""
 
 
 @query("attribute_profile_lineitem", f"WITH {_counts('lineitem', LINE_COLUMNS)}, {PROFILE} SELECT {PROFILE_OUT} FROM s")
@@ -230,13 +231,13 @@ DOC_TEXT = ["text", "lang", "source"]
     a AS (SELECT "column", dtype, sum(n) AS rows, coalesce(sum(n) FILTER (value IS NULL), 0) * 100.0 / sum(n) AS p,
       count(value) AS u, ln(sum(n) FILTER (value IS NOT NULL)) - (sum(n * ln(n)) FILTER (value IS NOT NULL))
         / (sum(n) FILTER (value IS NOT NULL)) AS h FROM vc GROUP BY ALL)
-    SELECT a."column", dtype, round(p, 2) AS null_pct, u AS "unique", {r('u * 1.0 / rows', 'cardinality_ratio')},
+    SELECT a."column", dtype, round(p, 2) AS null_pct, u AS "unique", round(u * 1.0 / rows, 6) AS cardinality_ratio,
       CASE WHEN u * 1.0 / rows > 0.01 THEN 'High' WHEN u * 1.0 / rows > 0.0001 THEN 'Medium' ELSE 'Low' END AS card_class,
-      {r('h', 'entropy', 4)}, value[1:30] AS top_value, {r('n * 100.0 / rows', 'top_value_pct', 2)}
+      round(h, 4) AS entropy, value[1:30] AS top_value, round(n * 100.0 / rows, 2) AS top_value_pct
     FROM a JOIN t ON a."column" = t."column" AND rn = 1""",
 )
 def categorical_column_summary(spark, sf_dir):
-    return rounded(P.categorical_column_summary(table(spark, sf_dir, "documents")))
+    return P.categorical_column_summary(table(spark, sf_dir, "documents"))
 
 
 @query(
