@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grainwise.functions.stats import normal_quantile, student_t_quantile
 from grainwise.plans.ordering import exact_percentiles, hash_order, prefix_sums
-from grainwise.plans.scratch import join_on_keys
+from grainwise.plans.scratch import join_measured
 
 
 def outliers_iqr(
@@ -20,7 +20,7 @@ def outliers_iqr(
     """Flag values outside the quartiles by more than ``multiplier`` IQR (strict)."""
     keys = list(keys)
     q = exact_percentiles(df, keys, value_col, {"__q1": 0.25, "__q3": 0.75})
-    joined = join_on_keys(df, q, keys, "left")
+    joined = join_measured(df, q, keys, "left")
     reach = multiplier * (F.col("__q3") - F.col("__q1"))
     value = F.col(value_col)
     flag = (value < F.col("__q1") - reach) | (value > F.col("__q3") + reach)
@@ -37,7 +37,7 @@ def outliers_zscore(
     keys = list(keys)
     moments = df.groupBy(*keys).agg(F.avg(value_col).alias("__mean"), F.stddev(value_col).alias("__std"))
     z = F.abs(F.try_divide(F.col(value_col) - F.col("__mean"), "__std"))
-    flagged = join_on_keys(df, moments, keys, "left").withColumn(output_col, F.coalesce(z > threshold, F.lit(False)))
+    flagged = join_measured(df, moments, keys, "left").withColumn(output_col, F.coalesce(z > threshold, F.lit(False)))
     return flagged.drop("__mean", "__std")
 
 

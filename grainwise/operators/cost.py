@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.functions.stats import pearson
-from grainwise.plans.ordering import exact_percentiles, with_position
+from grainwise.plans.ordering import exact_percentiles, prefix_sums, with_position
 from grainwise.plans.scratch import join_on_keys
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -212,8 +212,7 @@ def contribution_stack(aligned: DataFrame, entity_col: str, date_col: str, metri
 
 def cumulative_stack(aligned: DataFrame, entity_col: str, date_col: str, metric_col: str) -> DataFrame:
     """Long form of the stack: running total over the entities of a date, in key order."""
-    upto = Window.partitionBy(date_col).orderBy(entity_col).rowsBetween(Window.unboundedPreceding, 0)
-    return aligned.withColumn("stacked", F.sum(metric_col).over(upto))
+    return prefix_sums(aligned, [date_col], [entity_col], {"stacked": metric_col})
 
 
 def data_quality_report(df: DataFrame, group_cols: Sequence[str], label_col: str) -> DataFrame:

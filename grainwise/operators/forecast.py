@@ -143,15 +143,15 @@ def backtest(
     """Rolling-origin scores of the naive and moving-average forecasts.
 
     A cut-off of b trains on all but the last b rows and scores the ``horizon`` rows that
-    follow. Each row meets only the cut-offs it takes part in, and the training side is
-    cut to the last ``window`` rows before it is grouped.
+    follow. Only the rows that some cut-off reaches are paired with the cut-offs.
     """
     keys, order = list(keys), list(order)
     if min(cutoffs_back) < horizon:
         raise ValueError("every cut-off must leave at least `horizon` rows to score")
     placed = positioned(df.select(*keys, *order, value_col), keys, order)
     origins = F.array(*(F.lit(b) for b in cutoffs_back))
-    relative = placed.withColumn("cutoff", F.explode(origins)).withColumn(
+    reached = placed.where(F.col("pos") >= F.col("n") - (max(cutoffs_back) + window))
+    relative = reached.withColumn("cutoff", F.explode(origins)).withColumn(
         "offset", F.col("pos") - (F.col("n") - F.col("cutoff"))
     )
     group = [*keys, "cutoff"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.plans.ordering import BLOCK_ROWS, map_pieces, ordered_windows, with_blocks, with_position
-from grainwise.plans.scratch import join_on_keys
+from grainwise.plans.scratch import join_measured, join_on_keys
 
 
 def _centred(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_col: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _centred(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_col
     rows = df.where(F.col(value_col).isNotNull()).select(*keys, *order, F.col(value_col).cast("double").alias("v"))
     means = rows.groupBy(*keys).agg(F.avg("v").alias("mean"))
     placed = with_position(rows, keys, order, pos="pos", length="n")
-    return join_on_keys(placed, means, keys).select(*keys, "pos", "n", (F.col("v") - F.col("mean")).alias("x"))
+    return join_measured(placed, means, keys).select(*keys, "pos", "n", (F.col("v") - F.col("mean")).alias("x"))
 
 
 def _keys_schema(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -279,7 +279,7 @@ def seasonal_decomposition(
     # One row per phase of a series.
     level = F.avg("m").over(Window.partitionBy(*keys))
     phases = phases.select(*keys, "phase", (F.col("m") - level).alias("seasonal"))
-    joined = join_on_keys(smoothed, phases, [*keys, "phase"], "left")
+    joined = join_measured(smoothed, phases, [*keys, "phase"], "left")
     return joined.withColumn("residual", value - F.col("trend") - F.col("seasonal"))
 
 

@@ -153,17 +153,33 @@ def chronological_split(
     time_col: str = "timestamp",
     tie_cols: Sequence[str] = ("resource_id",),
 ) -> DataFrame:
-    """Label rows train, validation or test by their place in global time order."""
-    placed = with_position(df, [], [time_col, *tie_cols], pos="__at", length="__n")
+    """Label rows train, validation or test by their place in global time order.
+
+    Only the order columns are sorted, to find the two boundary keys. The rows themselves
+    are labelled by comparison and do not move; rows equal in all order columns stay together.
+    """
+    order = [time_col, *tie_cols]
+    placed = with_position(df.select(*order), [], order, pos="__at", length="__n")
     test = F.floor(F.col("__n") * F.lit(test_size))
     val = F.floor(F.col("__n") * F.lit(val_size))
     train = F.col("__n") - test - val
+    key = F.struct(*order)
+    bounds = placed.agg(
+        F.struct(
+            F.min(F.when(F.col("__at") >= train, key)).alias("val"),
+            F.min(F.when(F.col("__at") >= train + val, key)).alias("test"),
+        ).alias("b")
+    ).scalar()
+
+    def before(bound: Column) -> Column:
+        return bound.isNull() | (key < bound)
+
     label = (
-        F.when(F.col("__at") < train, "train")
-        .when(F.col("__at") < train + val, "validation")
+        F.when(before(bounds.getField("val")), "train")
+        .when(before(bounds.getField("test")), "validation")
         .otherwise("test")
     )
-    return placed.withColumn("split", label).drop("__at", "__n")
+    return df.withColumn("split", label)
 
 
 def every_kth(df: DataFrame, k: int, keys: Sequence[str], order: Sequence[str], pos: str = "pos") -> DataFrame:

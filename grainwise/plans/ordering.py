@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainwise.plans.scratch import fits_one_task, join_on_keys, materialize
+from grainwise.plans.scratch import fits_one_task, join_measured, join_on_keys, materialize
 
 BLOCK_ROWS = 65_536
 
@@ -67,7 +67,7 @@ def with_position(
         (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
         F.sum("__n").over(by_key).alias("__len"),
     )
-    out = join_on_keys(laid, runs, [_PART, *keys]).withColumn(pos, F.col(_ROW) + F.col("__shift"))
+    out = join_measured(laid, runs, [_PART, *keys]).withColumn(pos, F.col(_ROW) + F.col("__shift"))
     if length:
         out = out.withColumn(length, F.col("__len"))
     return out.drop(_ROW, _PART, "__shift", "__len")

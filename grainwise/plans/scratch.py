@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 GROUP_BOUND_KEY = "spark.grainwise.maxGroupRows"
 GROUP_BOUND_DEFAULT = 1_000_000
+BROADCAST_ROWS_KEY = "spark.grainwise.broadcastRows"
+BROADCAST_ROWS_DEFAULT = 500_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -72,6 +74,19 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]):
     return condition
 
 
+def join_measured(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a fact table with one row per key, moving the fact table only if it must move.
+
+    The right side is an aggregate of unknown size. It is written once and counted: a
+    small one is broadcast, so that the fact table is not shuffled and a hot key does no
+    harm. A large one takes the shuffle join, where adaptive execution splits hot keys.
+    """
+    written = materialize(right)
+    limit = int(left.sparkSession.conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS_DEFAULT)))
+    small = written.count() <= limit
+    return join_on_keys(left, F.broadcast(written) if small else written, keys, how)
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps the left key columns only.
 

@@ -470,3 +470,28 @@ def test_backtest_needs_room_for_the_horizon(spark):
         FC.backtest(df, ["k"], ["t"], "v", 5, [3])
     got = {(r.cutoff, r.model): r.mae for r in FC.backtest(df, ["k"], ["t"], "v", 2, [2, 4], window=2).collect()}
     assert got[(2, "naive")] == pytest.approx(1.5) and got[(4, "moving_average")] == pytest.approx(2.0)
+
+
+def test_binned_density_is_close_to_the_exact_one(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([("a", float(v)) for v in rng.normal(size=400)], "segment string, value double")
+    exact = {r.point: r.pdf for r in D.gaussian_kde(df, 50).collect()}
+    binned = {r.point: r.pdf for r in D.gaussian_kde(df, 50, bins=500).collect()}
+    assert max(abs(exact[p] - binned[p]) for p in range(50)) < 0.01
+
+
+def test_measured_join_broadcasts_only_small_sides(spark):
+    from grainwise.plans.scratch import join_measured
+
+    facts = spark.range(1000).withColumn("k", F.col("id") % 10)
+    per_key = facts.groupBy("k").agg(F.count("*").alias("n"))
+    plans = {}
+    for limit in ("500000", "3"):
+        spark.conf.set("spark.grainwise.broadcastRows", limit)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = join_measured(facts, per_key, ["k"])
+        plans[limit] = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.where("n = 100").count() == 1000
+    spark.conf.unset("spark.grainwise.broadcastRows")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans["500000"] and "BroadcastHashJoin" not in plans["3"]
