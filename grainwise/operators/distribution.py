@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainwise.functions.stats import kolmogorov_tail
 from grainwise.plans.ordering import exact_percentiles, prefix_sums
-from grainwise.plans.scratch import join_on_keys
+from grainwise.plans.scratch import join_measured, join_on_keys
 
 Pairs = Mapping[str, tuple[str, str]]
 
@@ -76,7 +76,7 @@ def ks_tests(
 def _binned(per: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     """Add bin number and bounds over the joint range of each group; the last bin is closed."""
     ranges = per.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    joined = join_on_keys(per, ranges, list(keys))
+    joined = join_measured(per, ranges, list(keys))
     # A group of one single value gets a unit range around it.
     lo = F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo"))
     hi = F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))
@@ -189,7 +189,7 @@ def gaussian_kde(
     grid = counts.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("g")).scalar()
     step = (grid.getField("hi") - grid.getField("lo")) / (points - 1)
     placed = (
-        join_on_keys(counts, spread, ["segment"])
+        join_measured(counts, spread, ["segment"])
         .withColumn("h", bandwidth)
         .where(F.col("h") > 0)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
