@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainwise.plans.ordering import BLOCK_ROWS, map_pieces, ordered_windows, with_blocks, with_position
+from grainwise.plans.ordering import BLOCK_ROWS, map_pieces, ordered_windows, spread, with_blocks, with_position
 from grainwise.plans.scratch import join_measured, join_on_keys
 
 
@@ -412,7 +412,7 @@ def adf_test(
         f"{c} double" for c in CRITICAL
     )
     solver = F.pandas_udf(solve, returned)
-    joined = join_on_keys(grams, heads, keys)
+    joined = spread(join_on_keys(grams, heads, keys), keys)
     solved = joined.withColumn(
         "r",
         solver(

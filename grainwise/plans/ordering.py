@@ -184,6 +184,15 @@ def ordered_windows(
     return out if pos else out.drop(at)
 
 
+def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hash-partition for a compute-bound stage.
+
+    The partition number is given outright: adaptive execution sizes partitions by bytes
+    and would leave a few small but expensive ones.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def map_pieces(
     df: DataFrame,
     keys: Sequence[str],
@@ -200,8 +209,7 @@ def map_pieces(
     keys = list(keys)
     columns = df.columns
     marked = (
-        df.withColumn("__piece", F.xxhash64(*keys, _BLOCK))
-        .repartition(*keys, _BLOCK)
+        spread(df.withColumn("__piece", F.xxhash64(*keys, _BLOCK)), [*keys, _BLOCK])
         .sortWithinPartitions(*keys, _BLOCK, pos)
     )
     fields = T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(schema).fields])
