@@ -132,7 +132,7 @@ def isolation_forest(
         tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth"))
         for _, part in nodes.sort_values(["tree", "node"]).groupby("tree")
     ]
-    scale = float(_path_correction(min(sample_size, max(sample_size, 2))))
+    scale = float(_path_correction(sample_size))
 
     def score(*series: pd.Series) -> pd.Series:
         points = np.column_stack([s.to_numpy(dtype=float) for s in series])

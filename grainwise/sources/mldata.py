@@ -110,8 +110,8 @@ def validate(df: DataFrame) -> tuple[bool, list[str]]:
 def dataset_statistics(df: DataFrame) -> DataFrame:
     """Long table (section, name, stat, value) of sizes, metric moments, labels and time range.
 
-    Metric quartiles are the linear-interpolated ones of the approximate sketch's exact
-    counterpart in ``profile.numeric_column_summary``; here only mergeable moments are kept.
+    Quartiles need an ordering and are added by ``with_quartiles`` from the numeric column
+    summary; everything here is one mergeable aggregation.
     """
     metrics = [c for c in STAT_METRICS if c in df.columns]
     aggregates = [F.count(F.lit(1)).cast("double").alias("dataset|rows|count")]
