@@ -34,8 +34,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordEncoder:
     """Ids of whole texts, encoding each distinct word once.
 
-    Right for tokenizers that drop white space and never join words across it. Distinct words
-    are encoded in runs, set apart by a digit that is a token of its own.
+    Right for tokenizers that drop white space and join neither words across it nor a letter or
+    digit with punctuation after it. Punctuation at the end of a word therefore counts as a
+    word. Distinct words are encoded in runs, set apart by a digit that is a token of its own.
     """
 
     def __init__(self, path: str):
@@ -52,20 +53,26 @@ class WordEncoder:
         self.known: dict[int, int] = {}
         self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        found: list[list[int]] = [[]] * len(texts)
-        plain = [i for i, x in enumerate(texts) if b"0" not in x and b"<|" not in x]
-        for a in range(0, len(plain), 2000):
-            run = plain[a : a + 2000]
-            ids = np.array(self.model.encode(" 0 ".join(texts[i].decode() for i in run), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(run) - 1:
+    def _encode(self, texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order in which the words come, all their ids, number of ids of each word in that order)."""
+        odd = [i for i, x in enumerate(texts) if b"0" in x or b"<|" in x]
+        apart = set(odd)
+        plain = [i for i in range(len(texts)) if i not in apart] if odd else list(range(len(texts)))
+        runs = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
+        joined = [b" 0 ".join([texts[i] for i in run]).decode() for run in runs]
+        ids, sizes = [], []
+        for run, found in zip(runs, self.model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            part = np.array(found.ids, dtype=np.uint32)
+            cut = part == self.mark
+            size = np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(part)]])) - 1
+            if len(size) != len(run):
                 raise ValueError("the separator is not a token of its own in this vocabulary")
-            for i, part in zip(run, np.split(ids, cuts), strict=True):
-                found[i] = part[1:] if i != run[0] else part
-        for i in set(range(len(texts))).difference(plain):
-            found[i] = self.model.encode(texts[i].decode(), add_special_tokens=False).ids
-        return found
+            ids.append(part[~cut])
+            sizes.append(size)
+        for found in self.model.encode_batch_fast([texts[i].decode() for i in odd], add_special_tokens=False):
+            ids.append(np.array(found.ids, dtype=np.uint32))
+            sizes.append(np.array([len(ids[-1])]))
+        return plain + odd, np.concatenate(ids), np.concatenate(sizes)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each row."""
@@ -74,7 +81,7 @@ class WordEncoder:
         at = [np.zeros(1, np.int64)]
         while a < rows:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + tokens.CHUNK_BYTES, side="right")) - 1)
-            h, s, o = tokens.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            h, s, o = tokens.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cut_marks=True)
             parts.append(h)
             firsts.append(s + offsets[a])
             ends.append(np.minimum(np.append(s[1:], offsets[b] - offsets[a]), np.repeat(offsets[a + 1 : b + 1] - offsets[a], np.diff(o))) + offsets[a])
@@ -90,13 +97,13 @@ class WordEncoder:
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
             raw = data.tobytes()
-            got = self._encode([raw[first[where[i]] : end[where[i]]].rstrip(b" \t\n\r\x0b\x0c") for i in new])
-            size = np.array([len(x) for x in got], dtype=np.int64)
+            begin, stop = first[where[new]].tolist(), end[where[new]].tolist()
+            order, ids, size = self._encode([raw[a:b].rstrip(b" \t\n\r\x0b\x0c") for a, b in zip(begin, stop, strict=True)])
             self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)
-            self.ids = np.concatenate([self.ids, *(np.asarray(x, dtype=np.uint32) for x in got)])
+            self.ids = np.append(self.ids, ids)
             n = len(self.known)
-            self.known.update((keys[i], n + j) for j, i in enumerate(new))
+            self.known.update((keys[new[i]], n + j) for j, i in enumerate(order))
         index = np.array([self.known[k] for k in keys])[inverse]
         size = self.size[index]
         ends_at = np.cumsum(size)

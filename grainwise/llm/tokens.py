@@ -59,8 +59,12 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first byte of each word, the rows' offsets in the words)."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, cut_marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first byte of each word, the rows' offsets in the words).
+
+    With ``cut_marks`` the punctuation at a word's end, after an ASCII letter or digit, is a
+    word of its own, unless it begins with a bar as the end of a special token does.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     blank = separators[data]
@@ -72,6 +76,13 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, np.zeros(len(offsets), np.int64)
+    if cut_marks:
+        plain = ~MARKS[data]
+        last = np.maximum.reduceat(np.where(plain, np.arange(len(data)), -1), starts)
+        last = last[(last >= 0) & (last < len(data) - 1)]
+        last = last[(data[last] < 128) & ~blank[last + 1] & ~begins[last + 1] & (data[last + 1] != ord("|"))]
+        begins[last + 1] = True
+        starts = np.flatnonzero(begins)
     values = _VALUES[data]
     values[blank] = 0
     lengths = np.diff(np.append(starts, len(data)))
