@@ -24,15 +24,21 @@ VARIABLE = "<*>"
 
 def template_keys(line: Column) -> Column:
     """Hashes of all templates that the line falls under; none for a blank line."""
-    tokens = F.filter(F.split(F.regexp_replace(line, r"[^ \t\r]*[0-9][^ \t\r]*", VARIABLE), r"[ \t\r]+"), lambda t: t != "")
-    n = F.size(tokens)
+    plain = F.btrim(F.regexp_replace(line, r"[^ \t\r]*[0-9][^ \t\r]*", VARIABLE), F.lit(" \t\r"))
 
-    def without(j: int) -> Column:
-        a, b = (F.floor((n - DEPTH) * i / FIELDS).cast("int") + DEPTH for i in (j, j + 1))
-        return F.xxhash64(F.lit(j + 1), n, F.slice(tokens, 1, a), F.slice(tokens, b + 1, F.greatest(n - b, F.lit(0))))
+    def keys(tokens: Column) -> Column:
+        n = F.size(tokens)
 
-    whole = F.xxhash64(F.lit(0), n, tokens)
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < LEAST_TOKENS, F.array(whole)).otherwise(F.array(whole, *(without(j) for j in range(FIELDS))))
+        def without(j: int) -> Column:
+            a, b = (F.floor((n - DEPTH) * i / FIELDS).cast("int") + DEPTH for i in (j, j + 1))
+            return F.xxhash64(F.lit(j + 1), n, F.slice(tokens, 1, a), F.slice(tokens, b + 1, F.greatest(n - b, F.lit(0))))
+
+        whole = F.xxhash64(F.lit(0), n, tokens)
+        return F.when(n < LEAST_TOKENS, F.array(whole)).otherwise(F.array(whole, *(without(j) for j in range(FIELDS))))
+
+    # A lambda's argument is computed once; a column used in many places would be computed in each.
+    found = F.transform(F.array(F.split(plain, r"[ \t\r]+")), keys)[0]
+    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(found)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
