@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
-from grainwise.llm.tables import fold, written
+from grainwise.llm.tables import fold, share, shared, written
 
 COMMON = 1 << 18
 HEAD, ENDINGS, NEIGHBOURS, CLASSES = 8192, 4096, 32, 16
@@ -156,10 +156,10 @@ def _part(total: np.ndarray) -> pa.RecordBatch:
 
 def neighbours(docs: DataFrame, words: Vocabulary) -> np.ndarray:
     """How often each type stands within two words of each of the most frequent words."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    box = share(docs.sparkSession, words)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        w = shared.value
+        w = shared(box)
         total = np.zeros(TYPES * NEIGHBOURS)
         for piece in tokens.pieces(batches):
             h, ending, at = token_rows(piece, 0)
@@ -231,13 +231,13 @@ def train(docs: DataFrame, words: Vocabulary, of: np.ndarray) -> np.ndarray:
     """Weights (ROWS x CLASSES) after one pass over all documents in ROUNDS parts."""
     context = docs.sparkSession.sparkContext
     weights = np.zeros((ROWS, CLASSES), np.float32)
-    shared = context.broadcast((words, of))
+    box = share(docs.sparkSession, (words, of))
 
     for r in range(ROUNDS):
         begun = context.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], begun=begun):
-            known, cls = shared.value
+            known, cls = shared(box)
             w = begun.value.copy()
             past, seen = np.zeros_like(w), np.zeros((ROWS, 1), np.float32)
             for piece in tokens.pieces(batches):
@@ -262,7 +262,7 @@ def train(docs: DataFrame, words: Vocabulary, of: np.ndarray) -> np.ndarray:
         total = reduced(part.select("text").mapInArrow(run, "part int, total binary"), (ROWS, CLASSES + 1))
         weights = weights + (total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32)
         begun.destroy()
-    shared.destroy()
+    box.destroy()
     return weights
 
 
@@ -296,10 +296,10 @@ def score(docs: DataFrame, held_out=None, key: str = "doc_id", text: str = "text
     of = classes(neighbours(learned, words))
     weights = train(learned, words, of)
     mass = class_mass(counts, words, of)
-    shared = docs.sparkSession.sparkContext.broadcast((words, of, weights, np.log10(mass)))
+    box = share(docs.sparkSession, (words, of, weights, np.log10(mass)))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known, cls, w, log_mass = shared.value
+        known, cls, w, log_mass = shared(box)
         number = TaskContext.get().partitionId() << 33
         log_count = np.log10(known.count + 0.5)
         for piece in tokens.pieces(batches):

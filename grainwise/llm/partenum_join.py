@@ -87,7 +87,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
         hashes, _, at = tokens.words(*tokens.text_buffer(piece.column(1)))
         sets = tokens.shingles(hashes, at, width)
         values = [tokens.mix(s + _UNIT) for s in sets]
-        keys = tokens.mix(np.array([np.sum(v, dtype=np.uint64) + np.uint64(len(v)) * _UNIT for v in values], dtype=np.uint64))
+        totals = np.array([np.sum(v, dtype=np.uint64) for v in values], dtype=np.uint64)
+        keys = tokens.mix(totals + np.array([len(v) for v in values], dtype=np.uint64) * _UNIT)
         yield piece, sets, values, tokens.signed(keys)
 
 

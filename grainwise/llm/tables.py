@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainwise.plans.scratch import scratch_path
@@ -38,3 +41,12 @@ def sampled(df: DataFrame, key: str, most: int, rows: int | None = None) -> Data
         return df
     share = int(most / rows * (1 << 30))
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < share)
+
+
+def share(spark: SparkSession, model) -> Broadcast:
+    """Broadcast a model of bounded size together with its class, for ``shared`` in the tasks."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def shared(box: Broadcast):
+    return pickle.loads(box.value)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
 from grainwise.llm.fitting import adagrad, sparse
-from grainwise.llm.tables import sampled, written
+from grainwise.llm.tables import sampled, share, shared, written
 
 #: Most labelled documents of either class that the model is fitted on.
 SAMPLE_PER_CLASS = 8000
@@ -150,10 +150,10 @@ def score(docs: DataFrame, model: Severity, key: str = "doc_id", text: str = "te
     probability of any grade above 0, and rows with p_toxic >= REJECT_AT are rejected. NULL and
     empty texts hold none of the model's words and score like any other text without them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    box = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        m = shared.value
+        m = shared(box)
         for piece in tokens.pieces(batches):
             h, _, offsets = tokens.words(*tokens.text_buffer(piece.column(1)), tokens.MARKS)
             at = present(h, m.words)
