@@ -201,3 +201,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     own = own.select("doc_id", "n_shingles", F.coalesce("root", "set_key").alias("class"))
     least = own.where("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return own.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, splits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that have the smallest key of their component, with all columns.
+
+    Of rows that are equal in key and text one stays. Rows are told apart by key alone, so rows
+    of one key with different texts stay or go together; rows with a NULL key all stay.
+    """
+    found = written(jaccard_components(docs, width, num, den, splits, key, text), "components")
+    removed = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "removed")
+    again = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"), "again")
+    left = docs.join(small(removed), F.col(key) == F.col("__gone"), "left_anti")
+    repeated = left.join(small(again), F.col(key) == F.col("__again"), "left_semi").dropDuplicates([key, text])
+    return left.join(small(again), F.col(key) == F.col("__again"), "left_anti").union(repeated)

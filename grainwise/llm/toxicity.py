@@ -143,6 +143,18 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 3, key: str = "doc_id"
     return Severity(words, w[:n], thresholds(w))
 
 
+def exceedance(piece: pa.RecordBatch, column: int, m: Severity) -> np.ndarray:
+    """P(grade > j) of each text (thresholds x rows)."""
+    h, _, offsets = tokens.words(*tokens.text_buffer(piece.column(column)), tokens.MARKS)
+    at = present(h, m.words)
+    hit = np.flatnonzero(at >= 0)
+    row = np.searchsorted(offsets, hit, side="right") - 1
+    cell, count = np.unique(row * max(1, len(m.words)) + at[hit], return_counts=True)
+    row, feature = np.divmod(cell, max(1, len(m.words)))
+    s = np.bincount(row, weights=(1 + np.log(count)) * m.weights[feature], minlength=piece.num_rows)
+    return 1 / (1 + np.exp(np.clip(m.thresholds[:, None] - s, -500, 500)))
+
+
 def score(docs: DataFrame, model: Severity, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, severity, grade, p_toxic, rejected) of each row, repeated rows included.
 
@@ -155,16 +167,21 @@ def score(docs: DataFrame, model: Severity, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]):
         m = shared(box)
         for piece in tokens.pieces(batches):
-            h, _, offsets = tokens.words(*tokens.text_buffer(piece.column(1)), tokens.MARKS)
-            at = present(h, m.words)
-            hit = np.flatnonzero(at >= 0)
-            row = np.searchsorted(offsets, hit, side="right") - 1
-            cell, count = np.unique(row * max(1, len(m.words)) + at[hit], return_counts=True)
-            row, feature = np.divmod(cell, max(1, len(m.words)))
-            s = np.bincount(row, weights=(1 + np.log(count)) * m.weights[feature], minlength=piece.num_rows)
-            over = 1 / (1 + np.exp(np.clip(m.thresholds[:, None] - s, -500, 500)))  # P(grade > j)
-            each = -np.diff(np.vstack([np.ones(len(s)), over, np.zeros(len(s))]), axis=0)
+            over = exceedance(piece, 1, m)
+            each = -np.diff(np.vstack([np.ones(piece.num_rows), over, np.zeros(piece.num_rows)]), axis=0)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(over.sum(axis=0)), pa.array(each.argmax(axis=0).astype(np.int32)), pa.array(over[0]), pa.array(over[0] >= REJECT_AT)], names=["doc_id", "severity", "grade", "p_toxic", "rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, severity double, grade int, p_toxic double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Severity, text: str = "text") -> DataFrame:
+    """The rows that ``score`` doesn't reject, with all their columns; nothing is joined or shuffled."""
+    box, at = share(docs.sparkSession, model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        m = shared(box)
+        for piece in tokens.pieces(batches, text):
+            yield piece.filter(pa.array(exceedance(piece, at, m)[0] < REJECT_AT))
+
+    return docs.mapInArrow(run, docs.schema)
