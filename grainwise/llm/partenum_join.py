@@ -165,7 +165,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     known = rows.where("doc_id is not null and set_key is not null")
     signed = known.select("set_key", F.explode("signatures").alias("signature"))
     shared = signed.groupBy("signature").agg(F.min("set_key").alias("centre"), F.max("set_key").alias("other")).where("centre < other").select("signature", "centre")
-    members = written(signed.join(small(written(shared, "shared")), "signature").distinct(), "members")
+    members = written(signed.join(written(shared, "shared"), "signature").distinct(), "members")
 
     facts = known.join(small(written(members.select("set_key").distinct(), "candidates")), "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     facts = written(facts, "facts")
