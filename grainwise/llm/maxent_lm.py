@@ -146,7 +146,7 @@ def reduced(parts: DataFrame, shape: tuple[int, ...], groups: int = 8) -> np.nda
                 total += np.frombuffer(x.as_py(), dtype=np.float32).reshape(shape)
         yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "total": [total.astype(np.float32).tobytes()]})
 
-    rows = parts.repartition(groups, "part").mapInArrow(add, "part int, total binary").collect()
+    rows = parts.repartition(groups).mapInArrow(add, "part int, total binary").collect()
     return sum((np.frombuffer(r.total, dtype=np.float32).reshape(shape).astype(np.float64) for r in rows), np.zeros(shape))
 
 
