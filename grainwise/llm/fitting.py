@@ -54,3 +54,34 @@ def sparse(batch: pa.RecordBatch, ids: str = "ids", values: str | None = "counts
     if values is None:
         return rows, features, np.ones(len(features))
     return rows, features, batch.column(batch.schema.get_field_index(values)).flatten().to_numpy(zero_copy_only=False)
+
+
+def lbfgs(rows: DataFrame, part: Gradient, weights: np.ndarray, steps: int, memory: int = 10, tolerance: float = 1e-7) -> np.ndarray:
+    """Limited-memory BFGS for a smooth loss; every evaluation is one pass over the rows."""
+    loss, gradient = summed(rows, part, weights)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    used = 1
+    while used < steps and np.abs(gradient).max() > tolerance:
+        direction, scales = gradient.copy(), []
+        for s, y in reversed(past):
+            a = (s @ direction) / (s @ y)
+            direction -= a * y
+            scales.append(a)
+        direction *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(gradient).sum())
+        for (s, y), a in zip(past, reversed(scales), strict=True):
+            direction += (a - (y @ direction) / (s @ y)) * s
+        slope, length = gradient @ direction, 1.0
+        while used < steps:
+            step = -length * direction
+            new_loss, new_gradient = summed(rows, part, weights + step)
+            used += 1
+            if new_loss <= loss - 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        change = new_gradient - gradient
+        if step @ change > 1e-12:
+            past = [*past, (step, change)][-memory:]
+        weights, loss, gradient = weights + step, new_loss, new_gradient
+    return weights

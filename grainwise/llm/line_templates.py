@@ -42,12 +42,12 @@ def template_keys(line: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, __same, lines): numbers of the lines whose template occurs in a document of a smaller key."""
+    """(__doc, __same, __lines): numbers of the lines whose template occurs in a document of a smaller key."""
     lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__same"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     rows = lines.select("__doc", "__same", "line_no", F.explode(template_keys(F.col("line"))).alias("template"))
     recurring = rows.groupBy("template").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("template", "first")
     found = rows.join(small(written(recurring, "templates")), "template").where("__doc > first")
-    return found.groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    return found.groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -55,15 +55,15 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     The document with the smallest key keeps a template's lines, all of them; others lose
     them. All rows and columns stay, ``length`` (if there is such a column) is set to the new
-    number of characters, and ``n_dropped_lines`` is added. NULL text stays NULL, a document
+    number of characters, and ``n_dropped_lines`` is added or replaced. NULL text stays NULL, a document
     that loses all lines has empty text. Blank lines never count. Rows with a NULL key neither
     lose lines nor make others lose them; repeated rows are one document.
     """
     repeated = repeated_lines(docs, key, text)
     tagged = docs.withColumn("__same", F.xxhash64(text))
     joined = tagged.join(repeated.withColumnRenamed("__same", "__same2"), (F.col(key) == F.col("__doc")) & (F.col("__same") == F.col("__same2")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("lines", i)), "\n")
-    out = joined.withColumn(text, F.when(F.col("lines").isNull(), F.col(text)).otherwise(kept))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__lines", i)), "\n")
+    out = joined.withColumn(text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(kept))
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("lines").isNull(), F.col(length)).otherwise(F.length(text).cast("long")))
-    return out.withColumn("n_dropped_lines", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")).select(*docs.columns, "n_dropped_lines")
+        out = out.withColumn(length, F.when(F.col("__lines").isNull(), F.col(length)).otherwise(F.length(text).cast("long")))
+    return out.withColumn("n_dropped_lines", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long")).select(*(c for c in docs.columns if c != "n_dropped_lines"), "n_dropped_lines")

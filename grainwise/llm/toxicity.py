@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
-from grainwise.llm.fitting import adagrad, sparse
+from grainwise.llm.fitting import lbfgs, sparse
 from grainwise.llm.tables import sampled, share, shared, written
 
 #: Most labelled documents of either class that the model is fitted on.
 SAMPLE_PER_CLASS = 8000
 #: Most words in the model, and the least likelihood ratio and documents that a word needs.
 WORDS, LEAST_RATIO, LEAST_DOCS = 4096, 12.0, 3
-STEPS, RATE, RIDGE = 60, 0.4, 1e-4
+STEPS, RIDGE = 80, 1e-5
 REJECT_AT = 0.5
 
 
@@ -37,16 +37,16 @@ class Severity:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(toxic, words, counts, total) of rows (text, toxic)."""
+    """(toxic, words, counts) of rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for piece in tokens.pieces(batches):
             h, _, at = tokens.words(*tokens.text_buffer(piece.column(0)), tokens.MARKS)
             found = [np.unique(h[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:], strict=True)]
-            columns = [piece.column(1), tokens.lists([x for x, _ in found], pa.int64()), tokens.lists([c.astype(np.int32) for _, c in found], pa.int32()), pa.array(np.diff(at))]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "words", "counts", "total"])
+            columns = [piece.column(1), tokens.lists([x for x, _ in found], pa.int64()), tokens.lists([c.astype(np.int32) for _, c in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "words", "counts"])
 
-    return docs.mapInArrow(run, "toxic int, words array<long>, counts array<int>, total long")
+    return docs.mapInArrow(run, "toxic int, words array<long>, counts array<int>")
 
 
 def telling_words(rows: DataFrame) -> np.ndarray:
@@ -78,10 +78,10 @@ def present(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def graded(rows: DataFrame, words: np.ndarray, grades: int) -> DataFrame:
-    """(grade, ids, counts): clean rows are grade 0, toxic ones 1.. by their share of telling words.
+    """(grade, ids, values): clean rows are grade 0, toxic ones 1.. by how much of the telling words they hold.
 
     The labels say toxic or not; the grades above 0 are equal parts of the toxic rows in order
-    of that share.
+    of their summed values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -90,13 +90,13 @@ def graded(rows: DataFrame, words: np.ndarray, grades: int) -> DataFrame:
             at = present(feature.astype(np.int64).view(np.uint64), words)
             keep = at >= 0
             cuts = np.searchsorted(row[keep], np.arange(batch.num_rows + 1))
-            share = np.bincount(row[keep], weights=value[keep], minlength=batch.num_rows) / np.maximum(1, batch.column(3).to_numpy())
+            much = np.bincount(row[keep], weights=1 + np.log(value[keep]), minlength=batch.num_rows)
             lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for x in (at[keep].astype(np.int32), (1 + np.log(value[keep])).astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(share)], names=["toxic", "ids", "values", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(much)], names=["toxic", "ids", "values", "much"])
 
-    found = written(rows.mapInArrow(run, "toxic int, ids array<int>, values array<float>, share double"), "graded")
-    cuts = found.where("toxic = 1").agg(F.percentile("share", F.array(*(F.lit(g / (grades - 1)) for g in range(1, grades - 1))))).first()[0] if grades > 2 else []
-    above = sum((F.col("share") > F.lit(float(c))).cast("int") for c in cuts or [])
+    found = written(rows.mapInArrow(run, "toxic int, ids array<int>, values array<float>, much double"), "graded")
+    cuts = found.where("toxic = 1").agg(F.percentile("much", F.array(*(F.lit(g / (grades - 1)) for g in range(1, grades - 1))))).first()[0] if grades > 2 else []
+    above = sum((F.col("much") > F.lit(float(c))).cast("int") for c in cuts or [])
     return found.select(F.when(F.col("toxic") == 1, 1 + above).otherwise(0).alias("grade"), "ids", "values")
 
 
@@ -136,10 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 3, key: str = "doc_id"
         gradient[n] = at.sum()
         gradient[n + 1 :] = np.exp(w[n + 1 :]) * np.cumsum(at[::-1])[::-1][1:]
         gradient[:n] += RIDGE * len(y) * w[:n]
-        return -np.log(p).sum(), gradient / total
+        return (-np.log(p).sum() + RIDGE * len(y) * (w[:n] @ w[:n]) / 2) / total, gradient / total
 
     start = np.concatenate([np.zeros(n), [2.0], np.zeros(grades - 2)])
-    w = adagrad(train, part, start, STEPS, RATE)
+    w = lbfgs(train, part, start, STEPS)
     return Severity(words, w[:n], thresholds(w))
 
 
@@ -152,7 +152,8 @@ def exceedance(piece: pa.RecordBatch, column: int, m: Severity) -> np.ndarray:
     cell, count = np.unique(row * max(1, len(m.words)) + at[hit], return_counts=True)
     row, feature = np.divmod(cell, max(1, len(m.words)))
     s = np.bincount(row, weights=(1 + np.log(count)) * m.weights[feature], minlength=piece.num_rows)
-    return 1 / (1 + np.exp(np.clip(m.thresholds[:, None] - s, -500, 500)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(m.thresholds[:, None] - s))
 
 
 def score(docs: DataFrame, model: Severity, key: str = "doc_id", text: str = "text") -> DataFrame:
