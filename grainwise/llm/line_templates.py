@@ -10,43 +10,77 @@ needs no task that sees a whole leaf: counting is one partially aggregated shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.tables import small, written
+from grainwise.llm import tokens
+from grainwise.llm.tables import written
 
 DEPTH = 2
 FIELDS = 4
 #: Shorter lines have no variable run: a quarter of them would be their meaning.
 LEAST_TOKENS = 8
-VARIABLE = "<*>"
-
-
-def template_keys(line: Column) -> Column:
-    """Hashes of all templates that the line falls under; none for a blank line."""
-    plain = F.btrim(F.regexp_replace(line, r"[^ \t\r]*[0-9][^ \t\r]*", VARIABLE), F.lit(" \t\r"))
+BLANKS = np.zeros(256, dtype=bool)
+BLANKS[[9, 10, 13, 32]] = True
+DIGITS = np.array([48 <= b < 58 for b in range(256)])
+_UNIT = np.uint64(0x9E3779B97F4A7C15)
 
-    def keys(tokens: Column) -> Column:
-        n = F.size(tokens)
 
-        def without(j: int) -> Column:
-            a, b = (F.floor((n - DEPTH) * i / FIELDS).cast("int") + DEPTH for i in (j, j + 1))
-            return F.xxhash64(F.lit(j + 1), n, F.slice(tokens, 1, a), F.slice(tokens, b + 1, F.greatest(n - b, F.lit(0))))
+def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, template, templates of the line before it) of all lines with tokens, flat.
 
-        whole = F.xxhash64(F.lit(0), n, tokens)
-        return F.when(n < LEAST_TOKENS, F.array(whole)).otherwise(F.array(whole, *(without(j) for j in range(FIELDS))))
-
-    # A lambda's argument is computed once; a column used in many places would be computed in each.
-    found = F.transform(F.array(F.split(plain, r"[ \t\r]+")), keys)[0]
-    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(found)
+    A line's tokens are hashed with their places; a template is the sum over the tokens that
+    it fixes, so all of a line's templates come from running sums.
+    """
+    h, starts, at = tokens.words(data, offsets, BLANKS, exact=True)
+    none = np.zeros(0, np.int64)
+    if not len(h):
+        return none, none, np.zeros(0, np.uint64), none
+    variable, _, _ = tokens.words(np.frombuffer(b"<*>", np.uint8), np.array([0, 3]), BLANKS, exact=True)
+    numbered = np.add.reduceat(DIGITS[data].astype(np.int32), starts) > 0
+    h = np.where(numbered, variable[0], h)
+    breaks = np.flatnonzero(data == 10)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[row]
+    first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(line) != 0)))
+    n = np.diff(np.append(first, len(h)))
+    place = np.arange(len(h)) - np.repeat(first, n)
+    total = np.append(np.uint64(0), np.cumsum(tokens.mix(h + place.astype(np.uint64) * _UNIT), dtype=np.uint64))
+    whole = total[first + n] - total[first]
+    tag = n.astype(np.uint64) * np.uint64(2 * FIELDS + 1)
+    keys = [tokens.mix(whole + tokens.mix(tag * _UNIT))]
+    for j in range(FIELDS):
+        a, b = (first + DEPTH + np.maximum(n - DEPTH, 0) * i // FIELDS for i in (j, j + 1))
+        a, b = np.minimum(a, first + n), np.minimum(b, first + n)
+        keys.append(tokens.mix(whole - (total[b] - total[a]) + tokens.mix((tag + np.uint64(j + 1)) * _UNIT)))
+    used = np.column_stack([np.ones(len(n), bool), *[n >= LEAST_TOKENS] * FIELDS])
+    count = used.sum(axis=1)
+    return row[first], line[first], np.column_stack(keys)[used], np.cumsum(count) - count
+
+
+def templates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(__doc, __same, line_no, templates) of every line with tokens; __same tells texts of one key apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for piece in tokens.pieces(batches, "__text"):
+            row, line, found, begin = line_keys(*tokens.text_buffer(piece.column(2)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(found)).astype(np.int32)), pa.array(tokens.signed(found)))
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(line.astype(np.int32)), lists], names=["__doc", "__same", "line_no", "templates"])
+
+    named = docs.select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__same"), F.col(text).alias("__text")).where("__doc is not null")
+    return named.mapInArrow(run, f"__doc {docs.schema[key].dataType.simpleString()}, __same long, line_no int, templates array<long>")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(__doc, __same, __lines): numbers of the lines whose template occurs in a document of a smaller key."""
-    lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__same"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    rows = lines.select("__doc", "__same", "line_no", F.explode(template_keys(F.col("line"))).alias("template"))
+    rows = written(templates(docs, key, text), "lines").select("__doc", "__same", "line_no", F.explode("templates").alias("template"))
     recurring = rows.groupBy("template").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("template", "first")
-    found = rows.join(small(written(recurring, "templates")), "template").where("__doc > first")
+    # A shuffle join at every size; adaptive execution splits the templates of hot lines.
+    found = rows.join(written(recurring, "templates"), "template").where("__doc > first")
     return found.groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
 
 

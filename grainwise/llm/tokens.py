@@ -22,7 +22,8 @@ MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_VALUES = np.random.RandomState(20).randint(1, 2**63 - 1, size=256, dtype=np.int64).astype(np.uint64)[_LOWER]
+_EXACT_VALUES = np.random.RandomState(20).randint(1, 2**63 - 1, size=256, dtype=np.int64).astype(np.uint64)
+_VALUES = _EXACT_VALUES[_LOWER]
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -59,11 +60,12 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, cut_marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, cut_marks: bool = False, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, first byte of each word, the rows' offsets in the words).
 
     With ``cut_marks`` the punctuation at a word's end, after an ASCII letter or digit, is a
-    word of its own, unless it begins with a bar as the end of a special token does.
+    word of its own, unless it begins with a bar as the end of a special token does. With
+    ``exact`` case counts.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -83,7 +85,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
         last = last[(data[last] < 128) & ~blank[last + 1] & ~begins[last + 1] & (data[last + 1] != ord("|"))]
         begins[last + 1] = True
         starts = np.flatnonzero(begins)
-    values = _VALUES[data]
+    values = (_EXACT_VALUES if exact else _VALUES)[data]
     values[blank] = 0
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
