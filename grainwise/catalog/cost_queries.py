@@ -128,6 +128,30 @@ def entity_share_rounded_period(spark, sf_dir):
     return rounded(shares, 6, metric_raw=2, period_total=2)
 
 
+def _share(bucket: str) -> str:
+    return f"""WITH e AS (SELECT CAST({bucket} AS TIMESTAMP) AS time, event_type, sum(value) AS c FROM events GROUP BY ALL)
+    SELECT time, event_type, {r('c', 'metric_raw', 2)}, {r('sum(c) OVER (PARTITION BY time)', 'period_total', 2)},
+      {r('c / nullif(sum(c) OVER (PARTITION BY time), 0)', 'metric_normalized')} FROM e"""
+
+
+@query("entity_share_by_week", _share("date_trunc('week', ts)"))
+def entity_share_by_week(spark, sf_dir):
+    shares = C.normalize_by_period(table(spark, sf_dir, "events"), ["event_type"], "value", "ts", "1 week")
+    return rounded(shares, 6, metric_raw=2, period_total=2)
+
+
+@query("entity_share_by_month", _share("date_trunc('month', ts)"))
+def entity_share_by_month(spark, sf_dir):
+    shares = C.normalize_by_period(table(spark, sf_dir, "events"), ["event_type"], "value", "ts", "1 month")
+    return rounded(shares, 6, metric_raw=2, period_total=2)
+
+
+@query("temporal_quality_instants", f"WITH {_quality('events', 'ts', 'value')}")
+def temporal_quality_instants(spark, sf_dir):
+    """The series on raw instants: as long as the table."""
+    return C.temporal_quality_metrics(table(spark, sf_dir, "events"), "ts", "value")
+
+
 ALIGNED = """s AS (SELECT n_name, o_orderpriority, date, sum(cost) AS c FROM billing GROUP BY ALL),
   spans AS (SELECT n_name, o_orderpriority, min(date) AS a, max(date) AS b FROM s GROUP BY ALL),
   spine AS (SELECT n_name, o_orderpriority, date FROM spans

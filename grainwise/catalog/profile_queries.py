@@ -252,6 +252,17 @@ def top_value_frequencies(spark, sf_dir):
     return rounded(P.top_value_frequencies(table(spark, sf_dir, "lineitem"), columns, 10))
 
 
+@query(
+    "top_texts",
+    f"""WITH t AS (SELECT text, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC,
+      CASE WHEN length(text) > 64 THEN md5(text) ELSE text END) AS rk FROM documents WHERE text IS NOT NULL GROUP BY text)
+    SELECT 'text' AS "column", CAST(rk AS INTEGER) AS rank, text AS value, n AS count,
+      {r('n * 1.0 / sum(n) OVER ()', 'share')} FROM t WHERE rk <= 10""",
+)
+def top_texts(spark, sf_dir):
+    return rounded(P.top_value_frequencies(table(spark, sf_dir, "documents"), ["text"], 10))
+
+
 @query(
     "dimension_cost_summary",
     f"""WITH d AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from grainwise.catalog.registry import query, r, rounded
 from grainwise.operators import signals as G
-from grainwise.sources.views import SIGNAL_SQL, signal
+from grainwise.sources.views import SIGNAL_SQL, signal, table
 
 KEYS, ORDER = ["series_id"], ["ts", "event_id"]
 ARGS = (KEYS, ORDER, "value")
@@ -30,9 +30,17 @@ def autocorrelation_function(spark, sf_dir):
     return rounded(acf(spark, sf_dir))
 
 
+def by_type(spark, sf_dir):
+    """A few long series, one of event types; long enough for the default lags and distances."""
+    return table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+
+
+TYPED = (["event_type"], ORDER, "value")
+
+
 @query("autocorrelation_peaks")
 def autocorrelation_peaks(spark, sf_dir):
-    return rounded(G.acf_peaks(acf(spark, sf_dir), KEYS, height=0.2, distance=10))
+    return rounded(G.acf_peaks(G.autocorrelation(by_type(spark, sf_dir), *TYPED), ["event_type"], height=0.05))
 
 
 @query(
@@ -69,7 +77,7 @@ def welch_power_spectrum(spark, sf_dir):
 
 @query("spectral_peaks")
 def spectral_peaks(spark, sf_dir):
-    return rounded(G.spectral_peaks(G.welch_psd(signal(spark, sf_dir), *ARGS), KEYS, distance=2), 6, power=4)
+    return rounded(G.spectral_peaks(G.welch_psd(by_type(spark, sf_dir), *TYPED), ["event_type"]), 6, power=4)
 
 
 def _decomposition(period: int) -> str:

@@ -28,7 +28,7 @@ def csv_signal_scan(spark, sf_dir):
     """Write the signal as ordered header-less CSV files, then read it back with positions."""
     folder = scratch_path(spark, "signal")
     events = table(spark, sf_dir, "events")
-    ordered = events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    ordered = events.repartitionByRange("event_id").sortWithinPartitions("event_id")
     ordered.select("value", (F.col("event_type") == "error").cast("int").alias("label")).write.csv(folder)
     return read_labelled_signal(spark, folder)
 

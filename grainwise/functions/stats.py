@@ -9,20 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def known(value: str | Column) -> Column:
+    """The value as a double, with NaN taken for missing: the one rule for NaN in all statistics."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def pearson(a: str | Column, b: str | Column) -> Column:
-    """Pearson correlation that is NULL, not an error, for constant input."""
-    a = (F.col(a) if isinstance(a, str) else a).cast("double")
-    b = (F.col(b) if isinstance(b, str) else b).cast("double")
+    """Pearson correlation that is NULL, not an error, for constant input; NaN counts as missing."""
+    a, b = known(a), known(b)
     both = a.isNotNull() & b.isNotNull()
     spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-def coefficient_of_variation(value: str) -> Column:
-    """Sample standard deviation over mean; NULL for one row or a zero mean."""
-    return F.try_divide(F.stddev(value), F.avg(value))
-
-
 def entropy_from_counts(count: str | Column) -> Column:
     """Shannon entropy in nats of a table of value counts: ln N - sum(c ln c) / N."""
     c = F.col(count) if isinstance(count, str) else count

@@ -75,12 +75,3 @@ def fourier_terms(value: Column, period: float, terms: int, prefix: str) -> dict
         out[f"{prefix}_cos{k}"] = F.cos(angle)
         out[f"{prefix}_sin{k}"] = F.sin(angle)
     return out
-
-
-def seasonal_effect(value: Column, period: float, cos_weights: Sequence[float], sin_weights: Sequence[float]) -> Column:
-    """Fourier series with given weights, summed into one column."""
-    total = F.lit(0.0)
-    for k, (a, b) in enumerate(zip(cos_weights, sin_weights, strict=True), start=1):
-        angle = value * F.lit(2.0 * k / period) * F.pi()
-        total = total + F.lit(float(a)) * F.cos(angle) + F.lit(float(b)) * F.sin(angle)
-    return total

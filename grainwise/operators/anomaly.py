@@ -9,20 +9,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.functions.stats import normal_quantile, student_t_quantile
+from grainwise.functions.stats import known, normal_quantile, student_t_quantile
 from grainwise.plans.ordering import exact_percentiles, hash_order, prefix_sums
-from grainwise.plans.scratch import join_measured
+from grainwise.plans.scratch import join_measured, materialize
 
 
 def outliers_iqr(
     df: DataFrame, value_col: str, keys: Sequence[str] = (), multiplier: float = 1.5, output_col: str = "is_outlier"
 ) -> DataFrame:
-    """Flag values outside the quartiles by more than ``multiplier`` IQR (strict)."""
+    """Flag values outside the quartiles by more than ``multiplier`` IQR (strict).
+
+    NULL and NaN are missing: they move no quartile and are never flagged.
+    """
     keys = list(keys)
     q = exact_percentiles(df, keys, value_col, {"__q1": 0.25, "__q3": 0.75})
     joined = join_measured(df, q, keys, "left")
     reach = multiplier * (F.col("__q3") - F.col("__q1"))
-    value = F.col(value_col)
+    value = known(value_col)
     flag = (value < F.col("__q1") - reach) | (value > F.col("__q3") + reach)
     return joined.withColumn(output_col, F.coalesce(flag, F.lit(False))).drop("__q1", "__q3")
 
@@ -32,11 +35,12 @@ def outliers_zscore(
 ) -> DataFrame:
     """Flag values more than ``threshold`` sample deviations from the mean.
 
-    Constant groups and single rows have no outliers.
+    Constant groups and single rows have no outliers. NULL and NaN are missing and never flagged.
     """
     keys = list(keys)
-    moments = df.groupBy(*keys).agg(F.avg(value_col).alias("__mean"), F.stddev(value_col).alias("__std"))
-    z = F.abs(F.try_divide(F.col(value_col) - F.col("__mean"), "__std"))
+    value = known(value_col)
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev(value).alias("__std"))
+    z = F.abs(F.try_divide(value - F.col("__mean"), "__std"))
     flagged = join_measured(df, moments, keys, "left").withColumn(output_col, F.coalesce(z > threshold, F.lit(False)))
     return flagged.drop("__mean", "__std")
 
@@ -107,10 +111,15 @@ def isolation_forest(
     Adds ``anomaly_score`` (higher is more isolated) and ``is_outlier`` for the top
     ``contamination`` share. Trees are grown one per group on at most ``sample_size``
     rows drawn by hash of ``keys``; the finished forest has a size fixed by its
-    parameters and travels with the scoring tasks.
+    parameters and travels with the scoring tasks. Only growing samples: every row comes
+    back and is scored, once, but for rows with a NULL or NaN feature, which keep a NULL
+    score and are no outliers.
     """
     columns, keys = list(columns), list(keys)
-    complete = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & known(c).isNotNull()
+    complete = df.where(whole)
     unit = F.conv(F.substring(hash_order(keys, seed), 1, 8), 16, 10).cast("double") / float(16**8)
     # A uniform pool of about 2 * trees * sample_size rows, whatever the table size.
     total = complete.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -139,12 +148,13 @@ def isolation_forest(
         return pd.Series(np.power(2.0, -_mean_depths(forest, points) / scale))
 
     scorer = F.pandas_udf(score, "double")
-    scored = complete.withColumn("anomaly_score", scorer(*(F.col(c) for c in columns)))
+    # Written once: the cut-off and the result read the same scores.
+    scored = materialize(df.withColumn("anomaly_score", F.when(whole, scorer(*(F.col(c) for c in columns)))))
     if exact_cut:
         cut = exact_percentiles(scored, [], "anomaly_score", {"cut": 1.0 - contamination})
     else:
         cut = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination).alias("cut"))
-    return scored.withColumn("is_outlier", F.col("anomaly_score") > cut.scalar())
+    return scored.withColumn("is_outlier", F.coalesce(F.col("anomaly_score") > cut.scalar(), F.lit(False)))
 
 
 # -- intervals ----------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.functions.stats import pearson
-from grainwise.plans.ordering import exact_percentiles, prefix_sums, with_position
+from grainwise.plans.ordering import exact_percentiles, ordered_windows, prefix_sums, with_position
 from grainwise.plans.scratch import join_on_keys
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -64,7 +64,9 @@ def temporal_quality_metrics(df: DataFrame, date_col: str, metric_col: str) -> D
     daily = df.groupBy(date_col).agg(
         F.count(F.lit(1)).alias("records"), F.sum(metric_col).alias("metric_sum")
     )
-    lagged = daily.withColumn("before", F.lag("metric_sum").over(Window.orderBy(date_col)))
+    # The time column may hold days or raw instants, so the series is measured, not assumed short.
+    before = lambda spec: {"before": F.lag("metric_sum").over(spec)}
+    lagged = ordered_windows(daily, [], [date_col], before, before=1)
     one = lagged.agg(
         F.min(date_col).alias("min_date"),
         F.max(date_col).alias("max_date"),
@@ -143,15 +145,30 @@ def detect_entity_anomalies(
     )
 
 
+CALENDAR_UNITS = {"month": 1, "quarter": 3, "year": 12}
+
+
 def period_bucket(time_col: str, every: str = "1 day", rounding: str = "floor") -> Column:
-    """Start of the period a time falls into, or the nearest period start for ``round``."""
+    """Start of the period a time falls into, or the nearest period start for ``round``.
+
+    Weeks begin on Monday. Months, quarters and years are those of the calendar; several of
+    them are counted from January 1970.
+    """
+    if rounding not in ("floor", "round"):
+        raise ValueError(f"unknown rounding '{rounding}': use floor or round")
     moment = F.col(time_col).cast("timestamp_ntz")
+    amount, unit = every.split(maxsplit=1)
+    unit = unit.strip().lower().removesuffix("s")
+    if unit in CALENDAR_UNITS:
+        step = int(amount) * CALENDAR_UNITS[unit]
+        number = (F.year(moment) - 1970) * 12 + F.month(moment) - 1
+        at = F.floor(number / step).cast("int") * step
+        start, end = (F.add_months(F.lit("1970-01-01").cast("date"), m).cast("timestamp_ntz") for m in (at, at + step))
+        return F.when(moment - start >= end - moment, end).otherwise(start) if rounding == "round" else start
     if rounding == "round":
-        amount, unit = every.split(maxsplit=1)
         moment = moment + F.expr(f"INTERVAL {amount} {unit}") / 2
-    elif rounding != "floor":
-        raise ValueError(f"unknown rounding '{rounding}': use floor or round")
-    return F.window(moment, every).getField("start")
+    # Windows are counted from 1970-01-01, a Thursday.
+    return F.window(moment, every, startTime="4 days" if unit == "week" else "0 seconds").getField("start")
 
 
 def normalize_by_period(

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.functions.semantics import cardinality_class, column_semantics
-from grainwise.functions.stats import entropy_from_counts, harmonic_score, pearson
+from grainwise.functions.stats import entropy_from_counts, harmonic_score, known, pearson
 from grainwise.plans.ordering import exact_percentiles
-from grainwise.plans.scratch import join_on_keys
+from grainwise.plans.scratch import join_on_keys, materialize
 
 DIGEST_OVER = 64
 
@@ -30,20 +30,32 @@ def string_columns(df: DataFrame) -> list[str]:
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def _is_text(field: T.StructField) -> bool:
+    return not isinstance(field.dataType, (*WHOLE, T.DoubleType, T.FloatType))
+
+
+def _plain_text(field: T.StructField) -> Column:
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+    return F.to_json(F.struct(column.alias("v"))) if nested else column.cast("string")
+
+
+def _digest(text: Column) -> Column:
+    """Long texts are compared by digest; their beginning travels along as a sample."""
+    digest = F.concat(F.md5(text), F.lit(":"), F.substring(text, 1, 50))
+    return F.when(F.length(text) > DIGEST_OVER, F.rpad(digest, DIGEST_OVER + 19, " ")).otherwise(text)
+
+
 def _typed(field: T.StructField) -> tuple[Column, Column, Column]:
     """The value as (bigint, double, text), two of them NULL; no number is printed here."""
     column, kind = F.col(f"`{field.name}`"), field.dataType
     whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(kind, WHOLE):
         whole = column.cast("bigint")
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+    elif not _is_text(field):
         real = column.cast("double")
     else:
-        nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
-        text = F.to_json(F.struct(column.alias("v"))) if nested else column.cast("string")
-        # Long texts are compared by digest; their beginning travels along as a sample.
-        digest = F.concat(F.md5(text), F.lit(":"), F.substring(text, 1, 50))
-        text = F.when(F.length(text) > DIGEST_OVER, F.rpad(digest, DIGEST_OVER + 19, " ")).otherwise(text)
+        text = _digest(_plain_text(field))
     return whole, real, text
 
 
@@ -108,8 +120,6 @@ def attribute_analysis(df: DataFrame, columns: Sequence[str] | None = None) -> D
     ).orderBy(F.desc("information_score"), "column")
 
 
-comprehensive_schema_analysis = attribute_analysis
-
 
 def calculate_attribute_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Density, cardinality, entropy without NULLs, their harmonic mean and a class."""
@@ -145,15 +155,6 @@ def shannon_entropy(df: DataFrame, columns: Sequence[str] | None = None, null_as
     return counts.groupBy("column").agg(entropy_from_counts(weight).alias("entropy"))
 
 
-def semantic_column_analysis(df: DataFrame) -> DataFrame:
-    """Semantic role of every column of a frame, by name."""
-    catalog = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
-        "ordinal int, column string, dtype string",
-    )
-    return catalog_semantics(catalog)
-
-
 def catalog_semantics(catalog: DataFrame, column: str = "column") -> DataFrame:
     """Semantic role of every column listed in a catalog table."""
     s = column_semantics(column)
@@ -207,12 +208,6 @@ def stratified_column_filter(
     )
 
 
-def selected_columns(flagged: DataFrame) -> tuple[list[str], list[str]]:
-    """(drop, keep) name lists of a flagged profile; as long as the schema is wide."""
-    rows = flagged.select("column", "drop_flag", "keep_flag").collect()
-    return sorted(r.column for r in rows if r.drop_flag), sorted(r.column for r in rows if r.keep_flag)
-
-
 # -- correlation --------------------------------------------------------------------
 
 
@@ -221,6 +216,7 @@ def pairwise_correlations(
 ) -> DataFrame:
     """Pearson correlation of every pair of columns, long form, in one aggregation.
 
+    Rows where either value is NULL or NaN do not count for a pair, whatever the plan.
     A handful of pairs is a plain aggregate. Beyond that, generated aggregate code grows
     with the square of the columns, so the co-moments of all pairs are taken as matrix
     products per Arrow batch and one row per pair leaves each task.
@@ -237,7 +233,7 @@ WIDE_PAIRS = 6
 
 def _matrix_correlations(df: DataFrame, names: list[str]) -> DataFrame:
     # Centring constants: one number per column. A constant column is shifted to exact zeros.
-    doubles = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)))
+    doubles = df.select(*(known(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)))
     centre = doubles.agg(
         *(F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in doubles.columns)
     ).first()
@@ -328,26 +324,26 @@ def correlation_matrix(correlations: DataFrame, columns: Sequence[str]) -> DataF
 def numeric_column_summary(df: DataFrame, null_threshold: float = 95.0) -> DataFrame:
     """NULL share, distinct values, quartiles and moments of the numeric columns.
 
-    The columns are unpivoted once and equal values merged; everything else, quartiles
-    included, is computed on the counted values.
+    Moments of all columns come from one aggregate without a shuffle of rows. Quartiles and
+    distinct values come from equal values merged as what they are, so that large whole
+    numbers stay apart; the figures shown are doubles. NaN counts as NULL.
     """
-    names = numeric_columns(df)
-    entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in names]
-    long = df.select(F.inline(F.array(*entries)))
-    base = long.groupBy("column").agg(
-        F.try_divide(F.count_if(F.col("value").isNull()) * 100.0, F.count(F.lit(1))).alias("null_pct"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev("value").alias("std"),
-    )
-    quartiles = exact_percentiles(
-        long, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, distinct="unique"
-    )
+    fields = [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    name = lambda f: F.lit(f.name).alias("column")
+    measures = {"null_pct": lambda v: F.try_divide(F.count_if(v.isNull()) * 100.0, F.count(F.lit(1))), "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev}
+    wide = df.agg(*(make(known(F.col(f"`{f.name}`"))).alias(f"{m}_{i}") for i, f in enumerate(fields) for m, make in measures.items()))
+    base = wide.select(F.inline(F.array(*(F.struct(name(f), *(F.col(f"{m}_{i}").alias(m) for m in measures)) for i, f in enumerate(fields)))))
+    probs = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    parts = []
+    for kind, own in (("bigint", [f for f in fields if isinstance(f.dataType, WHOLE)]), ("double", [f for f in fields if not isinstance(f.dataType, WHOLE)])):
+        if own:
+            entries = [F.struct(name(f), F.col(f"`{f.name}`").cast(kind).alias("value")) for f in own]
+            parts.append(exact_percentiles(df.select(F.inline(F.array(*entries))), ["column"], "value", probs, distinct="unique"))
+    quartiles = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     joined = join_on_keys(base.where(F.col("null_pct") <= null_threshold), quartiles, ["column"], "left")
     return joined.withColumns(
         {"null_pct": F.round("null_pct", 2), "unique": F.coalesce("unique", F.lit(0).cast("bigint"))}
-    )
+    ).select("column", "null_pct", "min", "max", "mean", "std", *probs, "unique")
 
 
 def categorical_column_summary(df: DataFrame, null_threshold: float = 95.0) -> DataFrame:
@@ -383,12 +379,26 @@ def categorical_column_summary(df: DataFrame, null_threshold: float = 95.0) -> D
 
 
 def top_value_frequencies(df: DataFrame, columns: Sequence[str], top_n: int = 10) -> DataFrame:
-    """Most frequent values per column with their share among the values shown."""
+    """Most frequent values per column, in full, with their share among the values shown.
+
+    Texts beyond 64 characters are counted by digest, which also orders ties among them;
+    the full text is looked up for the rows shown, of which there are ``top_n`` per column.
+    """
     counts = value_counts(df, columns).where(F.col("value").isNotNull())
     best = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     shown = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
     share = F.col("n") / F.sum("n").over(Window.partitionBy("column"))
-    return shown.select("column", "rank", F.col("sample").alias("value"), F.col("n").alias("count"), share.alias("share"))
+    found = shown.select("column", "rank", "value", F.col("n").alias("count"), share.alias("share"))
+    long = [f for f in df.schema.fields if f.name in columns and _is_text(f)]
+    if not long:
+        return found
+    entries = [F.struct(F.lit(f.name).alias("column"), _plain_text(f).alias("full")) for f in long]
+    texts = df.select(F.inline(F.array(*entries))).where(F.length("full") > DIGEST_OVER)
+    keyed = texts.select("column", _digest(F.col("full")).alias("value"), "full")
+    wanted = F.broadcast(materialize(found.where(F.length("value") > DIGEST_OVER).select("column", "value")))
+    full = keyed.join(wanted, ["column", "value"]).groupBy("column", "value").agg(F.first("full").alias("full"))
+    joined = found.join(F.broadcast(full), ["column", "value"], "left")
+    return joined.select("column", "rank", F.coalesce("full", "value").alias("value"), "count", "share")
 
 
 def dimension_cost_summary(df: DataFrame, dimensions: Sequence[str], cost_col: str, top_n: int = 10) -> DataFrame:

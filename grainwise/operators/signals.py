@@ -16,17 +16,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainwise.functions.stats import known
 from grainwise.plans.ordering import BLOCK_ROWS, map_pieces, ordered_windows, spread, with_blocks, with_position
-from grainwise.plans.scratch import join_measured, join_on_keys
+from grainwise.plans.scratch import join_measured, join_on_keys, materialize
 
 
 def _centred(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_col: str) -> DataFrame:
-    """(keys, pos, n, x): positions with the value less its series mean."""
+    """(keys, pos, n, x): positions with the value less its series mean.
+
+    A missing value (NULL or NaN) keeps its position and stands at the mean: it adds nothing
+    to any product, and what lies beyond the gap keeps its distance.
+    """
     keys = list(keys)
-    rows = df.where(F.col(value_col).isNotNull()).select(*keys, *order, F.col(value_col).cast("double").alias("v"))
+    rows = df.select(*keys, *order, known(value_col).alias("v"))
     means = rows.groupBy(*keys).agg(F.avg("v").alias("mean"))
     placed = with_position(rows, keys, order, pos="pos", length="n")
-    return join_measured(placed, means, keys).select(*keys, "pos", "n", (F.col("v") - F.col("mean")).alias("x"))
+    x = F.coalesce(F.col("v") - F.col("mean"), F.lit(0.0))
+    return join_measured(placed, means, keys).select(*keys, "pos", "n", x.alias("x"))
 
 
 def _keys_schema(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -161,15 +167,18 @@ def welch_psd(
     value_col: str,
     sampling_rate: float = 1.0,
     max_segment: int = 2048,
+    min_rows: int = 8,
 ) -> DataFrame:
     """Power spectral density by averaged, half-overlapping, Hann-tapered segments.
 
+    Series with fewer than ``min_rows`` rows have no spectrum: their segments would be one row long.
+
     A segment is a quarter of the series, at most ``max_segment`` rows. Kept periods reach
     from two samples to half the series. A row takes part in at most two segments, which
     are the only units that Python works on.
     """
     keys = list(keys)
-    x = _centred(df, keys, order, value_col).where(F.col("n") >= 8)
+    x = _centred(df, keys, order, value_col).where(F.col("n") >= max(4, min_rows))
     size = F.least(F.lit(max_segment), F.floor(F.col("n") / 4)).cast("bigint")
     step = F.col("size") - F.floor(F.col("size") / 2)
     count = F.floor((F.col("n") - F.floor(F.col("size") / 2)) / F.col("step"))
@@ -359,10 +368,12 @@ def adf_test(
     Blocks contribute their cross-product matrices, which are added up per series. The
     regressions themselves are solved on the summed matrix, of a size set by the lag
     order alone. All orders are compared on the same rows; the chosen one is fitted again
-    on all rows it can use.
+    on all rows it can use. A series without degrees of freedom for the test keeps its row,
+    with NULL for the statistic, the limits and the verdict.
     """
     keys = list(keys)
-    x = _centred(df, keys, order, value_col)
+    # Written once: the length, the blocks and the heads all read it.
+    x = materialize(_centred(df, keys, order, value_col))
     longest = x.agg(F.max("n")).first()[0] or 0
     reach = adf_lags(longest, max_lag) + 1
     blocks = with_blocks(x, before=reach, after=0, size=max(block_rows, reach))
@@ -404,6 +415,9 @@ def adf_test(
                 refit += rows.T @ rows
             statistic, _ = _least_squares(refit, used)
             nobs = int(round(refit[0, 0]))
+            if nobs <= used + 2:  # no degrees of freedom are left
+                results.append([math.nan, math.nan, used, nobs, *(math.nan for _ in CRITICAL)])
+                continue
             limits = [_polynomial(c, 1.0 / nobs) for c in CRITICAL.values()]
             results.append([statistic, _adf_p_value(statistic), used, nobs, *limits])
         return pd.DataFrame(results, columns=fields)
@@ -419,4 +433,5 @@ def adf_test(
             F.transform("g", lambda c: c.getField("s")), F.transform("h", lambda c: c.getField("x")), F.col("n")
         ),
     )
-    return solved.select(*keys, "r.*").withColumn("stationary", F.col("p_value") < 0.05)
+    named = [F.col(f"r.{c}") if c in ("used_lag", "nobs") else known(F.col(f"r.{c}")).alias(c) for c in fields]
+    return solved.select(*keys, *named).withColumn("stationary", F.col("p_value") < 0.05)

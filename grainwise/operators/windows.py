@@ -110,6 +110,9 @@ def anomaly_windows(
     )
 
 
+COPIES_AT_ONCE = 1000
+
+
 def oversample_anomalies(
     windows: DataFrame, keys: Sequence[str] = ("resource_id",), contamination: float = 0.1, seed: int = 42
 ) -> DataFrame:
@@ -134,9 +137,15 @@ def oversample_anomalies(
     whole = F.floor(F.try_divide(want, have)).cast("int")
     extra = (F.col("__place") < F.try_mod(want, have)).cast("int")
     copies = F.greatest(whole + extra, F.lit(1))
-    replicated = join_on_keys(anomalies, order, ident).withColumn(
-        "replica", F.explode(F.sequence(F.lit(0), copies - 1))
+    # Copies are numbered in two steps, spread out between them: neither an array nor a task
+    # holds all copies of a window.
+    runs = order.withColumn("__copies", copies).withColumn(
+        "__run", F.explode(F.sequence(F.lit(0), F.floor((F.col("__copies") - 1) / COPIES_AT_ONCE).cast("int")))
     )
+    first = F.col("__run") * COPIES_AT_ONCE
+    last = F.least(first + COPIES_AT_ONCE, F.col("__copies")) - 1
+    numbered = runs.repartition(*ident, "__run").withColumn("replica", F.explode(F.sequence(first, last)))
+    replicated = join_on_keys(anomalies, numbered.drop("__copies", "__run"), ident)
     return windows.where(F.col("label") == 0).withColumn("replica", F.lit(0)).unionByName(replicated.drop("__place"))
 
 

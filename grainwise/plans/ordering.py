@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainwise.functions.stats import known
 from grainwise.plans.scratch import fits_one_task, join_measured, join_on_keys, materialize
 
 BLOCK_ROWS = 65_536
@@ -250,7 +251,9 @@ def exact_percentiles(
     counts, which are distributed for groups beyond the bound. ``distinct`` names an
     output column for the number of different values.
     """
-    present = df.where(F.col(value).isNotNull()).select(*keys, value)
+    # NaN is missing, as NULL is; among the values it would stand above all others.
+    real = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
+    present = df.where(known(value).isNotNull() if real else F.col(value).isNotNull()).select(*keys, value)
     counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     bounded = fits_one_task(present, keys)
     if not bounded:

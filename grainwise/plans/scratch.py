@@ -13,6 +13,8 @@ GROUP_BOUND_KEY = "spark.grainwise.maxGroupRows"
 GROUP_BOUND_DEFAULT = 1_000_000
 BROADCAST_ROWS_KEY = "spark.grainwise.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 500_000
+BROADCAST_BYTES_KEY = "spark.grainwise.broadcastBytes"
+BROADCAST_BYTES_DEFAULT = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -66,14 +68,6 @@ def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
     return bound > 0 and largest_group(df, keys) <= bound
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    """Join condition that treats NULL keys as equal."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def join_measured(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a fact table with one row per key, moving the fact table only if it must move.
 
@@ -82,8 +76,12 @@ def join_measured(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     harm. A large one takes the shuffle join, where adaptive execution splits hot keys.
     """
     written = materialize(right)
-    limit = int(left.sparkSession.conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS_DEFAULT)))
-    small = written.count() <= limit
+    conf = left.sparkSession.conf
+    rows_limit = int(conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS_DEFAULT)))
+    bytes_limit = int(conf.get(BROADCAST_BYTES_KEY, str(BROADCAST_BYTES_DEFAULT)))
+    size = F.sum(F.octet_length(F.to_json(F.struct(*written.columns))))
+    rows, size = written.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    small = rows <= rows_limit and size <= bytes_limit
     return join_on_keys(left, F.broadcast(written) if small else written, keys, how)
 
 
