@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainwise.catalog.registry import query, r, rounded
-from grainwise.functions.stats import normal_quantile, student_t_quantile
 from grainwise.operators import anomaly as A
 from grainwise.plans.ordering import ordered_windows
 from grainwise.sources.views import SIGNAL_SQL, metrics, signal, table
@@ -83,12 +82,16 @@ def intervals(spark, sf_dir):
     return forecast(spark, sf_dir).transform(A.prediction_intervals())
 
 
-def _bounds(label: str, level: float, quantile) -> str:
-    q = quantile(1 - (1 - level) / 2)
+# Quantiles as printed in tables of the normal and the Student-t distribution.
+NORMAL_975, NORMAL_995, STUDENT_4_950 = 1.959963984540054, 2.5758293035489004, 2.131846786326649
+NORMAL_TENTHS = (-1.2815515655446004, -0.8416212335729142, -0.5244005127080407, -0.2533471031357997, 0.0, 0.2533471031357997, 0.5244005127080407, 0.8416212335729142, 1.2815515655446004)
+
+
+def _bounds(label: str, q: float) -> str:
     return f"y_pred - {q!r} * std AS lower_{label}, y_pred + {q!r} * std AS upper_{label}"
 
 
-INTERVALS = f"""{FORECAST}, iv AS (SELECT *, {_bounds('95', 0.95, normal_quantile)}, {_bounds('99', 0.99, normal_quantile)} FROM f),
+INTERVALS = f"""{FORECAST}, iv AS (SELECT *, {_bounds('95', NORMAL_975)}, {_bounds('99', NORMAL_995)} FROM f),
   vi AS (SELECT *, y_true < lower_95 OR y_true > upper_95 AS violates_95, y_true < lower_99 OR y_true > upper_99 AS violates_99
     FROM iv)"""
 
@@ -104,8 +107,8 @@ def prediction_intervals_gaussian(spark, sf_dir):
 
 @query(
     "prediction_intervals_student_t",
-    f"""{FORECAST} SELECT event_id, {r(f'y_pred - {student_t_quantile(0.95, 4.0)!r} * std', 'lower_90', 5)},
-    {r(f'y_pred + {student_t_quantile(0.95, 4.0)!r} * std', 'upper_90', 5)} FROM f""",
+    f"""{FORECAST} SELECT event_id, {r(f'y_pred - {STUDENT_4_950!r} * std', 'lower_90', 5)},
+    {r(f'y_pred + {STUDENT_4_950!r} * std', 'upper_90', 5)} FROM f""",
 )
 def prediction_intervals_student_t(spark, sf_dir):
     bounded = forecast(spark, sf_dir).transform(A.prediction_intervals([0.90], "student_t", nu=4.0))
@@ -182,7 +185,7 @@ def roc_auc(spark, sf_dir):
     "calibration_quantiles",
     f"""{FORECAST}, z AS (SELECT model, (y_true - y_pred) / nullif(std, 0) AS z FROM f) """
     + " UNION ALL ".join(
-        f"""SELECT model, {r(repr(i / 10), 'probability')}, {r(repr(normal_quantile(i / 10)), 'expected')},
+        f"""SELECT model, {r(repr(i / 10), 'probability')}, {r(repr(NORMAL_TENTHS[i - 1]), 'expected')},
         {r(f'quantile_cont(z, {i / 10!r})', 'observed')} FROM z GROUP BY model"""
         for i in range(1, 10)
     ),

@@ -148,7 +148,10 @@ def workload_statistics(spark, sf_dir):
 @query(
     "hour_of_day_profile",
     f"""{M} SELECT CAST(hour(timestamp) AS INTEGER) AS hour,
-    CASE {' '.join(f"WHEN hour(timestamp) <= {h} THEN '{name}'" for h, name in L.DAY_PERIODS)} END AS period,
+    CASE WHEN hour(timestamp) <= 5 THEN 'Night - Minimal activity' WHEN hour(timestamp) <= 8 THEN 'Morning ramp-up'
+      WHEN hour(timestamp) <= 11 THEN 'Peak morning activity' WHEN hour(timestamp) <= 13 THEN 'Lunch dip'
+      WHEN hour(timestamp) <= 16 THEN 'Afternoon peak' WHEN hour(timestamp) <= 18 THEN 'End of day wind-down'
+      WHEN hour(timestamp) <= 23 THEN 'Evening - Reduced activity' END AS period,
     {r('avg(cpu_utilization)', 'mean_cpu_utilization')}, {r('avg(memory_utilization)', 'mean_memory_utilization')},
     count(*) AS rows FROM metrics GROUP BY 1, 2""",
 )
