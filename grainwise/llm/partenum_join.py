@@ -200,7 +200,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     own = rows.select("doc_id", "n_shingles", "set_key").join(small(labels), F.col("set_key") == F.col("node"), "left")
     own = own.select("doc_id", "n_shingles", F.coalesce("root", "set_key").alias("class"))
     least = own.where("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return own.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    # Written, so that the join has a shuffle of its own, whose hot classes can be split.
+    return own.join(written(least, "least"), "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, splits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
