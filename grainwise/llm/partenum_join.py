@@ -4,11 +4,12 @@ Two sets of together S elements with similarity of at least t differ in at most
 (1-t)/(1+t) * S elements. Sets are put in bands of similar size, a set near the end of a
 band in the next one too, so that any two similar sets meet in a band; its largest S bounds
 the difference by k. In a band the domain of the n-grams is cut into
-``(k + 2) // 2 + SLACK`` parts and each part into ``splits`` cells: in some part the two
-sets differ in one element at most, so they agree in all cells of that part but one. The
+``(k + 2) // 2`` parts and a few more and each part into ``splits`` cells: in some part the
+two sets differ in one element at most, so they agree in all cells of that part but one. The
 signatures of a set are therefore, for each part, all subsets of its cells that leave one
-out. Signatures over cells without elements say nothing; SLACK allows to skip them, unless a
-set has more such parts than SLACK.
+out. Signatures over cells without elements say nothing. They are skipped if the parts they
+occur in are fewer than those in which the set must agree with any partner of its size; by
+the parts added and by the set's own size that is nearly always so.
 
 Sharing a signature only makes a candidate. Each signature's sets are first compared with
 the smallest of them (a star, linear in the group); the components found so far then leave
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from grainwise.llm import tokens
 from grainwise.llm.tables import small, written
 
-SLACK = 1
+#: One part is added for so many, one at least.
+PARTS_FOR_ONE_MORE = 16
 #: Bands grow by this power of 1 / t: a compromise of few bands per set and a small bound k.
 STRETCH = 3
 SKETCH_WORDS = 16
@@ -67,7 +69,11 @@ class Bands:
         for band, k in self.of(len(elements)):
             if not k:
                 continue  # only equal sets are similar here
-            parts = (k + 2) // 2 + SLACK
+            least = (k + 2) // 2
+            parts = least + max(1, least // PARTS_FOR_ONE_MORE)
+            size = len(elements)
+            differ = (self.den - self.num) * (size + min(size * self.den // self.num, self.last[band])) // (self.den + self.num)
+            agree = parts - differ // 2  # parts that differ in one element at most
             cells = parts * self.splits
             if cells not in self.edges:
                 self.edges[cells] = np.arange(1, cells, dtype=np.uint64) * np.uint64(2**64 // cells)
@@ -77,7 +83,7 @@ class Bands:
             left_out = np.arange(cells, dtype=np.uint64).reshape(parts, self.splits) + np.uint64(band << 40)
             subsets = tokens.mix(cell.sum(axis=1, dtype=np.uint64)[:, None] - cell + tokens.mix(left_out * _UNIT))
             empty = filled.sum(axis=1)[:, None] == filled
-            out.append(subsets.ravel() if empty.any(axis=1).sum() > SLACK else subsets[~empty])
+            out.append(subsets[~empty] if empty.any(axis=1).sum() < agree else subsets.ravel())
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
