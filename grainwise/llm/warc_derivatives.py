@@ -69,13 +69,13 @@ def derive(source: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def as_text(records: DataFrame) -> DataFrame:
-    """Each record in WARC/1.0 form, in one string column ``value``."""
+    """Each record in WARC/1.0 form, in one string column ``value``, but for the last line break."""
     names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("X-Source-Payload-Digest", "source_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
     source = F.replace(F.regexp_replace("source_headers", r"\r\n$", ""), F.lit(CRLF), F.lit(f"{CRLF}X-Source-Header: "))
     lines = [F.lit("WARC/1.0"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in names), F.concat(F.lit("X-Source-Header: "), source), F.lit("")]
-    return records.select(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF), F.col("block"), F.lit(CRLF + CRLF)).alias("value"))
+    return records.select(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF), F.col("block"), F.lit(CRLF)).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Gzipped WARC files, one per task."""
-    as_text(records).write.option("compression", "gzip").option("lineSep", "").text(path)
+    as_text(records).write.option("compression", "gzip").option("lineSep", CRLF).text(path)
