@@ -21,7 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template occurred in an earlier document."""
-    return line_templates.drop_recurring(docs).drop("n_dropped_lines")
+    return line_templates.drop_recurring(docs, wide=True).drop("n_dropped_lines")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

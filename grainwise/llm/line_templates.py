@@ -6,11 +6,18 @@ holds a digit stands for a variable field. Below that path a template is all tok
 if they agree outside one variable run; shorter lines must agree in all tokens but the
 digit-bearing ones. Templates are keys that do not depend on the order of arrival, so the tree
 needs no task that sees a whole leaf: counting is one partially aggregated shuffle.
+
+That is the rule of the query's SQL. The ``wide`` rule, which the pipeline uses, finds more: a
+template has any two of ``FINE`` runs open, so the variable words may stand apart but still are
+a quarter of the line at most, and lines of ``LEAST_SHORT`` tokens on have up to two open
+places of their own. As little is fixed in those, such a template must also hold at least
+``SHORT_LINES`` lines and half of the lines of its leaf.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +31,21 @@ DEPTH = 2
 FIELDS = 4
 #: Shorter lines have no variable run: a quarter of them would be their meaning.
 LEAST_TOKENS = 8
+#: Of the wide rule: runs of which two are open, and for shorter lines the least tokens, the share that is fixed, and lines under a template.
+FINE = 8
+LEAST_SHORT, SHORT_FIXED, SHORT_LINES, SHORT_SHARE = 4, 0.6, 3, 0.5
 BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[9, 10, 13, 32]] = True
 DIGITS = np.array([48 <= b < 58 for b in range(256)])
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line number, template, templates of the line before it) of all lines with tokens, flat.
-
-    A line's tokens are hashed with their places; a template is the sum over the tokens that
-    it fixes, so all of a line's templates come from running sums.
-    """
+def placed_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, first token, tokens) of all lines with tokens, and running sums of the tokens' hashes with their places."""
     h, starts, at = tokens.words(data, offsets, BLANKS, exact=True)
     none = np.zeros(0, np.int64)
     if not len(h):
-        return none, none, np.zeros(0, np.uint64), none
+        return none, none, none, none, np.zeros(1, np.uint64)
     variable, _, _ = tokens.words(np.frombuffer(b"<*>", np.uint8), np.array([0, 3]), BLANKS, exact=True)
     numbered = np.add.reduceat(DIGITS[data].astype(np.int32), starts) > 0
     h = np.where(numbered, variable[0], h)
@@ -50,6 +56,16 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = np.diff(np.append(first, len(h)))
     place = np.arange(len(h)) - np.repeat(first, n)
     total = np.append(np.uint64(0), np.cumsum(tokens.mix(h + place.astype(np.uint64) * _UNIT), dtype=np.uint64))
+    return row[first], line[first], first, n, total
+
+
+def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, template, templates of the line before it) of all lines with tokens, flat.
+
+    A line's tokens are hashed with their places; a template is the sum over the tokens that
+    it fixes, so all of a line's templates come from running sums.
+    """
+    row, line, first, n, total = placed_lines(data, offsets)
     whole = total[first + n] - total[first]
     tag = n.astype(np.uint64) * np.uint64(2 * FIELDS + 1)
     keys = [tokens.mix(whole + tokens.mix(tag * _UNIT))]
@@ -59,7 +75,39 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         keys.append(tokens.mix(whole - (total[b] - total[a]) + tokens.mix((tag + np.uint64(j + 1)) * _UNIT)))
     used = np.column_stack([np.ones(len(n), bool), *[n >= LEAST_TOKENS] * FIELDS])
     count = used.sum(axis=1)
-    return row[first], line[first], np.column_stack(keys)[used], np.cumsum(count) - count
+    return row, line, np.column_stack(keys)[used], np.cumsum(count) - count
+
+
+def wide_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, template, templates before the line, loose template, loose ones before it, leaf) by the wide rule.
+
+    Two open runs include one, so templates with fewer open runs need no keys but the whole line's.
+    """
+    row, line, first, n, total = placed_lines(data, offsets)
+    whole = total[first + n] - total[first]
+
+    def key(left: np.ndarray, size, code: int) -> np.ndarray:
+        tag = np.atleast_1d(size).astype(np.uint64) * np.uint64(1 << 16) + np.uint64(code)
+        return tokens.mix(left + tokens.mix(tag * _UNIT))
+
+    bounds = [np.minimum(first + DEPTH + np.maximum(n - DEPTH, 0) * j // FINE, first + n) for j in range(FINE + 1)]
+    runs = [total[b] - total[a] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    keys = [key(whole, n, 0), *(key(whole - runs[i] - runs[j], n, 1 + FINE * i + j) for i, j in combinations(range(FINE), 2))]
+    used = np.column_stack([np.ones(len(n), bool), *[n >= LEAST_TOKENS] * (len(keys) - 1)])
+    count = used.sum(axis=1)
+
+    owner, loose, leaf = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.zeros(len(n), np.uint64)
+    for size in range(LEAST_SHORT, LEAST_TOKENS):
+        own = np.flatnonzero(n == size)
+        token = [total[first[own] + i + 1] - total[first[own] + i] for i in range(size)]
+        leaf[own] = key(sum(token[:DEPTH], np.zeros(len(own), np.uint64)), size, 1 << 15)
+        most = min(2, int(size * (1 - SHORT_FIXED) + 1e-9))
+        for places in combinations(range(DEPTH, size), most):
+            owner.append(own)
+            loose.append(key(whole[own] - sum((token[i] for i in places), np.zeros(len(own), np.uint64)), size, 1 << 12 | sum(1 << i for i in places)))
+    owner, loose = np.concatenate(owner), np.concatenate(loose)
+    order = np.argsort(owner, kind="stable")
+    return row, line, np.column_stack(keys)[used], np.cumsum(count) - count, loose[order], np.searchsorted(owner[order], np.arange(len(n))), leaf
 
 
 def templates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,8 +123,26 @@ def templates(docs: DataFrame, key: str, text: str) -> DataFrame:
     return named.mapInArrow(run, f"__doc {docs.schema[key].dataType.simpleString()}, __same long, line_no int, templates array<long>")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def wide_templates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(__doc, __same, line_no, templates, loose, leaf) of every line with tokens; the leaf is NULL for lines without loose templates."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for piece in tokens.pieces(batches, "__text"):
+            row, line, found, begin, loose, loose_begin, leaf = wide_keys(*tokens.text_buffer(piece.column(2)))
+            both = [pa.ListArray.from_arrays(pa.array(np.append(a, len(x)).astype(np.int32)), pa.array(tokens.signed(x))) for a, x in ((begin, found), (loose_begin, loose))]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(line.astype(np.int32)), *both, pa.array(tokens.signed(leaf), mask=leaf == 0)],
+                names=["__doc", "__same", "line_no", "templates", "loose", "leaf"],
+            )
+
+    named = docs.select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__same"), F.col(text).alias("__text")).where("__doc is not null")
+    return named.mapInArrow(run, f"__doc {docs.schema[key].dataType.simpleString()}, __same long, line_no int, templates array<long>, loose array<long>, leaf long")
+
+
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """(__doc, __same, __lines): numbers of the lines whose template occurs in a document of a smaller key."""
+    if wide:
+        return wide_repeated_lines(docs, key, text)
     rows = written(templates(docs, key, text), "lines").select("__doc", "__same", "line_no", F.explode("templates").alias("template"))
     recurring = rows.groupBy("template").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("template", "first")
     # A shuffle join at every size; adaptive execution splits the templates of hot lines.
@@ -84,16 +150,32 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return found.groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
 
 
-def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def wide_repeated_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same by the wide rule; a leaf's lines are counted before templates multiply them."""
+    lines = written(wide_templates(docs, key, text), "lines")
+    where = ["__doc", "__same", "line_no"]
+    rows = lines.select(*where, F.explode("templates").alias("template"))
+    recurring = rows.groupBy("template").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("template", "first")
+    found = rows.join(written(recurring, "templates"), "template").where("__doc > first").select(*where)
+    loose = lines.select(*where, "leaf", F.explode("loose").alias("template"))
+    leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("leaf_lines"))
+    counted = loose.groupBy("template").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.count("*").alias("n"), F.first("leaf").alias("leaf"))
+    ruling = counted.where((F.col("first") < F.col("last")) & (F.col("n") >= SHORT_LINES)).join(leaves, "leaf").where(F.col("n") >= SHORT_SHARE * F.col("leaf_lines"))
+    short = loose.drop("leaf").join(written(ruling.select("template", "first"), "loose"), "template").where("__doc > first").select(*where)
+    return found.union(short).groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
+
+
+def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", wide: bool = False) -> DataFrame:
     """The documents without the lines whose template occurred in an earlier document.
 
     The document with the smallest key keeps a template's lines, all of them; others lose
     them. All rows and columns stay, ``length`` (if there is such a column) is set to the new
     number of characters, and ``n_dropped_lines`` is added or replaced. NULL text stays NULL, a document
     that loses all lines has empty text. Blank lines never count. Rows with a NULL key neither
-    lose lines nor make others lose them; repeated rows are one document.
+    lose lines nor make others lose them; repeated rows are one document. With ``wide`` the
+    templates are those of the wide rule.
     """
-    repeated = repeated_lines(docs, key, text)
+    repeated = repeated_lines(docs, key, text, wide)
     tagged = docs.withColumn("__same", F.xxhash64(text))
     joined = tagged.join(repeated.withColumnRenamed("__same", "__same2"), (F.col(key) == F.col("__doc")) & (F.col("__same") == F.col("__same2")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__lines", i)), "\n")

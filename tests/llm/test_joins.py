@@ -173,3 +173,24 @@ def test_line_templates_of_odd_rows(odd, none):
     assert texts[1, "s"] and texts[2, "s"] == "" and texts[3, "s"] == "" and texts[6, "s"] is None and texts[4, "s"] == ""
     assert got.where("doc_id is null and text is not null").count() == 1
     assert line_templates.drop_recurring(none).count() == 0
+
+
+def test_wide_templates_have_two_runs_open_and_short_lines_a_rule(spark):
+    prose = "the quick brown fox jumps over the lazy dog near the quiet river bank today"
+    rows = [
+        (1, f"{prose}\nPosted by Alice on Monday\nHow to bake fine bread"),
+        (2, f"{prose.replace('fox', 'cat').replace('river', 'lake')}\nPosted by Alma on Friday\nHow to fell a tree"),
+        (3, "Posted by Bob on Sunday\nHow to mend old shoes\nPosted by whom it may"),
+        (4, f"{prose.replace('fox', 'cat').replace('lazy', 'big').replace('today', 'now').replace('jumps', 'sits')}"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(df, wide=True).collect()}
+    assert got == {1: rows[0][1], 2: "How to fell a tree", 3: "How to mend old shoes\nPosted by whom it may", 4: rows[3][1]}
+
+
+def test_wide_templates_drop_what_the_narrow_ones_drop(spark, odd, none, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for df in (docs, odd):
+        narrow, wide = ({(r["__doc"], r["__same"]): set(r["__lines"]) for r in line_templates.repeated_lines(df, wide=w).collect()} for w in (False, True))
+        assert narrow and all(lines <= wide[k] for k, lines in narrow.items())
+    assert line_templates.drop_recurring(odd, wide=True).count() == odd.count() and line_templates.drop_recurring(none, wide=True).count() == 0
