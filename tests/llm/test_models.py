@@ -274,3 +274,33 @@ def test_common_subsequence():
     for _ in range(60):
         a, b = rng.randint(0, 6, size=rng.randint(1, 70)), rng.randint(0, 6, size=rng.randint(0, 90))
         assert latent_decontamination.common_subsequence(a, b) == slow(a.tolist(), b.tolist())
+
+
+def test_no_leak_is_lost_before_the_check(spark):
+    """All windows and items by the check alone, with items far longer and shorter than a window."""
+    m, rng = latent_decontamination, random.Random(4)
+    text = lambda n: [f"t{rng.randrange(3000)}" if rng.random() < 0.6 else rng.choice(["the", "of", "and", "to"]) for _ in range(n)]
+    items = [(i, text(n)) for i, n in enumerate([2, 6, 12, 15, 18, 20, 22, 25, 40, 60, 300, 400, 600, 600] * 2)]
+    docs = []
+    for d in range(140):
+        words, item = text(rng.randrange(5, 300)), items[d % 28][1]
+        if d % 5 == 1:  # half of the words in order and the answer
+            item = [w if i >= len(item) - 4 or rng.random() < 0.5 else f"u{rng.randrange(999)}" for i, w in enumerate(item)]
+        if d % 5 == 2:
+            item = [w for w in item if rng.random() < 0.75]
+        if d % 5 < 4:
+            words[len(words) // 2 : len(words) // 2] = item
+        docs.append((d, " ".join(words)))
+    got = {r.doc_id: r for r in m.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    hashed = lambda x: tokens.words(*tokens.text_buffer(pa.array([x])), tokens.MARKS)[0]
+    hashes = [hashed(" ".join(w)) for _, w in items]
+    for d, x in docs:
+        h, want = hashed(x), []
+        for i, item in enumerate(hashes):
+            for first in range(0, max(1, len(h) - m.WINDOW + m.STRIDE), m.STRIDE):
+                region = h[max(0, first - len(item)) : first + m.WINDOW + len(item)]
+                found = m.common_subsequence(item, region) / len(item)
+                if found >= 0.7 or found >= 0.5 and m.answered(item, region):
+                    want.append(i)
+                    break
+        assert got[d].item_ids == want, d
