@@ -8,6 +8,7 @@ expressions over one scan, so nothing is shuffled.
 
 from __future__ import annotations
 
+import html as markup
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,13 +20,23 @@ BLOCK_TAG = r"(?i)</?(p|div|br|hr|li|ul|ol|tr|td|th|table|h[1-6]|nav|header|foot
 # The five predefined entities and the no-break space, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 CRLF = "\r\n"
+#: Value of an attribute in double, single or no quotes.
+VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))"
+LANGUAGE = rf"(?i)<html(?=\s)[^>]*?\slang{VALUE}"
+LINK = rf"(?i)<a(?=\s)[^>]*?\shref{VALUE}"
 
 
-def plain_text(html: Column) -> Column:
+def decoded(text: Column) -> Column:
+    """The text with every character reference of HTML as its character, no-break spaces as spaces."""
+    unescape = F.udf(lambda x: None if x is None else markup.unescape(x).replace("\xa0", " "), "string")
+    return F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
+
+
+def plain_text(html: Column, decode: bool = False) -> Column:
     """Visible text: a line per block element, runs of blanks as one, no empty lines."""
     shown = reduce(lambda x, pattern: F.regexp_replace(x, pattern, " "), HIDDEN, html)
     shown = F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), r"<[^>]*>", "")
-    shown = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, shown)
+    shown = decoded(shown) if decode else reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, shown)
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(shown, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -47,22 +58,29 @@ def responses(pages: DataFrame, date: str, key: str = "page_id", url: str = "url
     )
 
 
-def derive(source: DataFrame, key: str = "page_id") -> DataFrame:
+def derive(source: DataFrame, key: str = "page_id", decode: bool = False) -> DataFrame:
     """Two records per response, in the columns of a WARC header, and the block.
 
     Repeated responses give repeated records. Pages without title, language or links leave
     those fields out; a page without text gives an empty conversion block. Other columns of
-    the source are not carried.
+    the source are not carried. With ``decode`` all character references are decoded, in the
+    title and the links too; else ENTITIES in the text only, as the query's SQL has it.
     """
     payload = F.col("payload")
-    title = F.trim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1), r"[ \t\r\n]+", " "))
-    language = F.regexp_extract(payload, r"(?i)<html[^>]* lang=\"([^\"]*)\"", 1)
-    links = F.regexp_extract_all(payload, F.lit(r"(?i)<a [^>]*href=\"([^\"]*)\""), F.lit(1))
+    whole = decoded if decode else (lambda x: x)
+    line = lambda x: F.trim(F.regexp_replace(whole(x), r"[ \t\r\n]+", " "))
+    title = line(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1))
+    language = F.concat(*(F.regexp_extract(payload, LANGUAGE, g) for g in (1, 2, 3)))
+    # Of the three groups of a link one is set.
+    groups = F.arrays_zip(*(F.regexp_extract_all(payload, F.lit(LINK), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)))
+    links = F.transform(groups, lambda x: F.concat(x["g1"], x["g2"], x["g3"]))
+    if decode:  # an encoded line break would begin a field
+        links = F.udf(lambda x: [" ".join(markup.unescape(y).split()) for y in x or []], "array<string>")(links)
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise("")
     outlinks = F.when(F.size(links) > 0, F.concat(F.lit("outlink: "), F.array_join(links, f"{CRLF}outlink: "), F.lit(CRLF))).otherwise("")
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.concat(field("title", title), field("language", language), outlinks).alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(payload).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(payload, decode).alias("block")),
     )
     rows = source.select(key, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.explode(made).alias("r"))
     return rows.select(key, record_id(F.col("r.record_type"), F.col("refers_to")).alias("record_id"), "r.record_type", "refers_to", "target_uri", "date", "r.content_type", "source_headers", "source_digest", F.concat(F.lit("sha256:"), F.sha2(F.col("r.block"), 256)).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block")

@@ -138,6 +138,17 @@ def test_warc_records(spark, tmp_path):
     assert warc_derivatives.derive(warc_derivatives.responses(spark.createDataFrame([], "page_id long, url string, html string"), "x")).count() == 0
 
 
+def test_warc_records_decode_all_references_and_read_all_quotes(spark):
+    page = """<html class=a lang='de'><head><title>Caf&eacute; &amp; &#x201C;B&#8221;&#10;x</title></head><body><p>&copy; 2020 &middot; a&nbsp;b &hellip; &amp;lt;</p><a data-href="no" href='/one?a=1&amp;b=2'>1</a><a class=c href=/two>2</a><a href="/it's">3</a><a href="">4</a></body></html>"""
+    source = warc_derivatives.responses(spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string"), "x")
+    got = {(r.page_id, r.record_type): r.block for r in warc_derivatives.derive(source, decode=True).collect()}
+    assert got[1, "conversion"] == "Caf\u00e9 & \u201cB\u201d\nx\n\u00a9 2020 \u00b7 a b \u2026 &lt;\n1234"
+    assert got[1, "metadata"] == "title: Caf\u00e9 & \u201cB\u201d x\r\nlanguage: de\r\noutlink: /one?a=1&b=2\r\noutlink: /two\r\noutlink: /it's\r\noutlink: \r\n"
+    assert got[2, "conversion"] == got[2, "metadata"] == ""
+    plain = {(r.page_id, r.record_type): r.block for r in warc_derivatives.derive(source).collect()}
+    assert "outlink: /two\r\noutlink: /it's\r\n" in plain[1, "metadata"] and "language: de\r\n" in plain[1, "metadata"]
+
+
 @pytest.fixture(scope="module")
 def staged(spark, sf, tmp_path_factory):
     import corpus_pipeline
