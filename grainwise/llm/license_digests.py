@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainwise.llm.license_texts import DIGESTS
 from grainwise.llm.tables import small
 
 COPYRIGHT_LINE = r"(?im)^[^\na-z0-9]*(copyright|\(c\) *[0-9]|©|all rights reserved)[^\n]*$"
@@ -72,6 +73,30 @@ KNOWN_TEXTS = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
+# Names by which notices call a licence.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPL-3.0", "AGPLv3"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPL-2.0", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0", "GPLv3"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "LGPL-2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPL-3.0", "LGPLv3"),
+    "MIT": ("MIT License", "MIT Licence"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
+    "Unlicense": ("Unlicense",),
+}
+_SUBJECTS = ("", "This work is ", "This project is ", "This software is ", "This program is ", "This code is ", "This file is ")
+_VERBS = ("licensed under ", "released under ", "distributed under ", "available under ")
+NOTICES = tuple((a, s + v + the + name) for a, names in NAMES.items() for name in names for s in _SUBJECTS for v in _VERBS for the in ("", "the ", "the terms of the "))
 
 
 def canonical(text: Column) -> Column:
@@ -86,9 +111,11 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
-def known_licenses(spark: SparkSession, texts=KNOWN_TEXTS) -> DataFrame:
+def known_licenses(spark: SparkSession, texts=KNOWN_TEXTS + NOTICES, digests=DIGESTS) -> DataFrame:
     """(digest, license_id); of two licences with one canonical form the first name counts."""
-    return spark.createDataFrame(list(texts), "license_id string, text string").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id")).where("digest is not null")
+    made = spark.createDataFrame(list(texts), "license_id string, text string").select(digest(F.col("text")).alias("digest"), "license_id")
+    whole = spark.createDataFrame([(d, a) for a, own in digests.items() for d in own], "digest string, license_id string")
+    return made.union(whole).groupBy("digest").agg(F.min("license_id").alias("license_id")).where("digest is not null")
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -112,6 +112,23 @@ def test_license_digests(spark, odd, none):
     assert license_digests.scan(odd, known).count() == odd.count() and license_digests.scan(none, known).count() == 0
 
 
+def test_whole_texts_and_notices_of_common_licenses(spark):
+    folder = Path("/usr/share/common-licenses")
+    rows = [(a, (folder / f).read_text()) for a, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if (folder / f).exists()]
+    two = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    three = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    rows += [("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2024, A\n\n{two}{end}"), ("BSD-3-Clause", f"Copyright (c) 2024, A\nAll rights reserved.\n\n{two}{three}{end}")]
+    rows += [("notice BSD-3-Clause", "prose\nLicensed under the BSD 3-Clause License."), (None, f"{two}{end} And more.")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_digests.scan(docs, license_digests.known_licenses(spark)).collect()}
+    for i, (name, _) in enumerate(rows):
+        if name and name.startswith("notice "):
+            assert got[i].license_id is None and got[i].notices == name.removeprefix("notice ")
+        else:
+            assert got[i].license_id == name
+
+
 def test_warc_records(spark, tmp_path):
     html = '<html lang="en"><head><title>A &amp; B</title><script>var x="<p>";</script></head><body><!-- no --><p>One &lt;two&gt;</p><div>three  four<br>five</div><a href="/x">link</a><a class="c" href="http://y/">y</a></body></html>'
     rows = [(1, "http://a/", html, "clash"), (2, None, None, None), (3, "http://b/", "", "x"), (1, "http://a/", html, "clash"), (None, "http://c/", "plain " * 50_000, "x")]
