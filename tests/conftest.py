@@ -39,12 +39,3 @@ def either_path(request, spark):
     yield request.param
     spark.conf.set("spark.grainwise.maxGroupRows", "1000000")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted by the given columns or by all of them."""
-    collected = [tuple(r) for r in df.collect()]
-    if order:
-        at = [df.columns.index(c) for c in order]
-        return sorted(collected, key=lambda r: tuple((r[i] is None, r[i]) for i in at))
-    return sorted(collected, key=lambda r: tuple((v is None, str(v)) for v in r))

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from grainwise import BillingLoader, GrainError, GrainFrame, LoaderSpec, get_spark_session

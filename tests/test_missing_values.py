@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from grainwise.operators import anomaly as A
 from grainwise.operators import cost as C
 from grainwise.operators import profile as P

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from grainwise.functions import stats as S

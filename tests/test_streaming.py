@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import time
 
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from grainwise.streaming import rollup as R
