@@ -90,7 +90,7 @@ def graded(rows: DataFrame, words: np.ndarray, grades: int) -> DataFrame:
             at = present(feature.astype(np.int64).view(np.uint64), words)
             keep = at >= 0
             cuts = np.searchsorted(row[keep], np.arange(batch.num_rows + 1))
-            much = np.bincount(row[keep], weights=1 + np.log(value[keep]), minlength=batch.num_rows)
+            much = np.bincount(row[keep], weights=1 + np.log(value[keep]), minlength=batch.num_rows).astype(np.float64)
             lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for x in (at[keep].astype(np.int32), (1 + np.log(value[keep])).astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(much)], names=["toxic", "ids", "values", "much"])
 
@@ -110,8 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 3, key: str = "doc_id"
     known = written(known, "labels")
     chosen = written(sampled(known.where("toxic = 1"), "__key", SAMPLE_PER_CLASS).union(sampled(known.where("toxic = 0"), "__key", SAMPLE_PER_CLASS)), "sample")
     # the sample has a fixed bound, so it may be broadcast
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).select(F.col(text).alias("text"), "toxic")
-    rows = written(word_counts(rows).coalesce(12), "words")
+    texts = docs.select(F.col(key).alias("__doc"), F.col(text).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__key")).select("text", "toxic")
+    # the scan keeps its own tasks; only the sample's words are dealt to a few
+    rows = written(word_counts(rows).repartition(12), "words")
     words = telling_words(rows)
     if not len(words):
         return Severity(words, np.zeros(0), np.full(grades - 1, np.inf))

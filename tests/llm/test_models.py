@@ -184,6 +184,20 @@ def test_ordinal_gradient_is_that_of_the_loss(spark):
     assert sparse(batch, "ids", "values")[0].max() < batch.num_rows
 
 
+def test_severity_is_fitted_with_batches_of_clean_rows_only_and_clashing_columns(spark):
+    docs, labels = toxic_rows(60, 1)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = spark.createDataFrame(docs, "doc_id long, text string, slurs int")
+    clashing = plain.selectExpr("doc_id", "text", "text as toxic", "1 as __key", "2 as __doc", "3 as words", "4 as grade")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        one, two = (toxicity.fit(x, labels) for x in (plain, clashing))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(one.words) and one.words.tolist() == two.words.tolist()
+    assert one.weights == pytest.approx(two.weights, abs=1e-3)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), (7, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
