@@ -22,8 +22,8 @@ MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_EXACT_VALUES = np.random.RandomState(20).randint(1, 2**63 - 1, size=256, dtype=np.int64).astype(np.uint64)
-_VALUES = _EXACT_VALUES[_LOWER]
+EXACT_VALUES = np.random.RandomState(20).randint(1, 2**63 - 1, size=256, dtype=np.int64).astype(np.uint64)
+_VALUES = EXACT_VALUES[_LOWER]
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -85,7 +85,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
         last = last[(data[last] < 128) & ~blank[last + 1] & ~begins[last + 1] & (data[last + 1] != ord("|"))]
         begins[last + 1] = True
         starts = np.flatnonzero(begins)
-    values = (_EXACT_VALUES if exact else _VALUES)[data]
+    values = (EXACT_VALUES if exact else _VALUES)[data]
     values[blank] = 0
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)

@@ -23,6 +23,7 @@ FIRST = {
     "op8": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["query_id", "rank", "vec_id", "score"],
     "op10": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op12": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
@@ -37,11 +38,11 @@ def test_query_equals_its_sql(spark, sf, name):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("number", ["op8", "op10"])
+@pytest.mark.parametrize("number", ["op8", "op10", "op12"])
 def test_columns_of_the_contract(spark, sf, number):
     name = next(n for n in QUERIES if n.startswith(f"{number}_"))
     assert set(FIRST[number]) <= set(QUERIES[name](spark, sf).columns)
