@@ -96,13 +96,30 @@ NAMES = {
 }
 _SUBJECTS = ("", "This work is ", "This project is ", "This software is ", "This program is ", "This code is ", "This file is ")
 _VERBS = ("licensed under ", "released under ", "distributed under ", "available under ")
+#: Each known licence and notice holds one of these in its canonical form, and levelling joins no letters: a line without them is none.
+TELLING = ("licen", "permi", "domain", "released", "distributed", "available")
+#: What a line must hold in lower case to be a copyright line.
+COPYRIGHT_SIGNS = ("copyright", "(c)", "©", "all rights reserved")
 NOTICES = tuple((a, s + v + the + name) for a, names in NAMES.items() for name in names for s in _SUBJECTS for v in _VERBS for the in ("", "the ", "the terms of the "))
 
 
+def holds_any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x | y, (F.contains(text, F.lit(p)) for p in parts))
+
+
 def canonical(text: Column) -> Column:
-    """Canonical form of a text; empty if nothing but copyright lines and punctuation is left."""
-    level = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, " ")), LEVELLED, " "), F.lit(" "))
-    return F.trim(reduce(lambda x, pair: F.replace(x, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS, level))
+    """Canonical form of a text; empty if nothing but copyright lines and punctuation is left.
+
+    Words are two blanks apart until their spellings are levelled, so that neighbours share none.
+    """
+    without = F.when(holds_any(F.lower(text), COPYRIGHT_SIGNS), F.regexp_replace(text, COPYRIGHT_LINE, " ")).otherwise(text)
+    level = F.concat(F.lit("  "), F.regexp_replace(F.lower(without), LEVELLED, "  "), F.lit("  "))
+    spelled = reduce(lambda x, pair: F.replace(x, F.lit(apart(pair[0])), F.lit(apart(pair[1]))), SPELLINGS, level)
+    return F.trim(F.replace(spelled, F.lit("  "), F.lit(" ")))
+
+
+def apart(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def digest(text: Column) -> Column:
@@ -118,17 +135,20 @@ def known_licenses(spark: SparkSession, texts=KNOWN_TEXTS + NOTICES, digests=DIG
     return made.union(whole).groupBy("digest").agg(F.min("license_id").alias("license_id")).where("digest is not null")
 
 
-def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", telling: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: key, digest, license_id of the whole text, notices, n_notice_lines.
 
     ``notices`` is the sorted, comma-separated list of licences that entire lines name, NULL if
     there is none. NULL or empty text has a NULL digest and no licence. Rows repeat as they do
     in the input; the lines of rows with the same key and text count once. The known digests
-    are broadcast only if they are few; document texts are never shuffled.
+    are broadcast only if they are few; document texts are never shuffled. With ``telling``, letters
+    of which every known canonical form holds one, lines without any of them are passed over.
     """
     known = small(known.select("digest", "license_id"))
     own = docs.select(F.col(key), F.xxhash64(text).alias("__same"), digest(F.col(text)).alias("digest"))
     lines = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("__same")).select(key, "__same", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    if telling:
+        lines = lines.where(holds_any(F.lower("line"), telling))
     hits = lines.select(key, "__same", "line_no", digest(F.col("line")).alias("digest")).join(known, "digest")
     notices = hits.groupBy(key, "__same").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.countDistinct("line_no").alias("n_notice_lines"))
     whole = own.join(known, "digest", "left")

@@ -38,10 +38,11 @@ def line_templates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(text: str) -> str:
-    form = f"' ' || regexp_replace(lower(regexp_replace({text}, {_literal(license_digests.COPYRIGHT_LINE)}, ' ', 'g')), {_literal(license_digests.LEVELLED)}, ' ', 'g') || ' '"
+    words = f"string_split(trim(regexp_replace(lower(regexp_replace({text}, {_literal(license_digests.COPYRIGHT_LINE)}, ' ', 'g')), {_literal(license_digests.LEVELLED)}, ' ', 'g')), ' ')"
+    form = f"'  ' || array_to_string({words}, '  ') || '  '"
     for a, b in license_digests.SPELLINGS:
-        form = f"replace({form}, ' {a} ', ' {b} ')"
-    return f"nullif(trim({form}), '')"
+        form = f"replace({form}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+    return f"nullif(trim(replace({form}, '  ', ' ')), '')"
 
 
 LICENSE_SQL = f"""
@@ -57,7 +58,7 @@ FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
 
 @query("op3_license_digests", LICENSE_SQL)
 def license_digests_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_digests.scan(table(spark, sf_dir, "documents"), license_digests.known_licenses(spark))
+    return license_digests.scan(table(spark, sf_dir, "documents"), license_digests.known_licenses(spark), telling=license_digests.TELLING)
 
 
 def _plain_sql(html: str) -> str:

@@ -110,6 +110,16 @@ def test_license_digests(spark, odd, none):
     assert got[1][0] == "MIT" and got[2][0] is None
     assert got[3] == (None, "Apache-2.0,MIT", 3) and got[4] == got[5] == got[6] == (None, None, 0)
     assert license_digests.scan(odd, known).count() == odd.count() and license_digests.scan(none, known).count() == 0
+    quick = license_digests.scan(spark.createDataFrame(rows, "doc_id long, text string"), known, telling=license_digests.TELLING)
+    assert {r.doc_id: (r.license_id, r.notices, r.n_notice_lines) for r in quick.collect()} == got
+    assert all(any(w in t.lower() for w in license_digests.TELLING) for _, t in license_digests.KNOWN_TEXTS + license_digests.NOTICES)
+
+
+def test_neighbouring_spellings_are_levelled_each(spark):
+    texts = ["licence licence licenced", "Non-Commercial non commercial", "sub licence sub-license", "per cent per cent", "copyright law\nhere", "(C) 1999 x\ny"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(license_digests.canonical(df["text"])).collect()]
+    assert got == ["license license licensed", "noncommercial noncommercial", "sublicense sublicense", "percent percent", "here", "y"]
 
 
 def test_whole_texts_and_notices_of_common_licenses(spark):
