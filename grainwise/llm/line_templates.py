@@ -21,11 +21,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
-from grainwise.llm.tables import written
+from grainwise.llm.tables import unused, written
 
 DEPTH = 2
 FIELDS = 4
@@ -78,36 +78,22 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, line, np.column_stack(keys)[used], np.cumsum(count) - count
 
 
-def wide_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line number, template, templates before the line, loose template, loose ones before it, leaf) by the wide rule.
+def line_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, line number, tokens, whole line, leaf, parts) of all lines with tokens.
 
-    Two open runs include one, so templates with fewer open runs need no keys but the whole line's.
+    The parts of a line that is long enough are the hashes of its ``FINE`` runs, those of a shorter one its
+    tokens' hashes; in both cases an array of ``FINE`` columns. The leaf is the token count and the leading tokens.
     """
     row, line, first, n, total = placed_lines(data, offsets)
-    whole = total[first + n] - total[first]
-
-    def key(left: np.ndarray, size, code: int) -> np.ndarray:
-        tag = np.atleast_1d(size).astype(np.uint64) * np.uint64(1 << 16) + np.uint64(code)
-        return tokens.mix(left + tokens.mix(tag * _UNIT))
-
-    bounds = [np.minimum(first + DEPTH + np.maximum(n - DEPTH, 0) * j // FINE, first + n) for j in range(FINE + 1)]
-    runs = [total[b] - total[a] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    keys = [key(whole, n, 0), *(key(whole - runs[i] - runs[j], n, 1 + FINE * i + j) for i, j in combinations(range(FINE), 2))]
-    used = np.column_stack([np.ones(len(n), bool), *[n >= LEAST_TOKENS] * (len(keys) - 1)])
-    count = used.sum(axis=1)
-
-    owner, loose, leaf = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.zeros(len(n), np.uint64)
-    for size in range(LEAST_SHORT, LEAST_TOKENS):
-        own = np.flatnonzero(n == size)
-        token = [total[first[own] + i + 1] - total[first[own] + i] for i in range(size)]
-        leaf[own] = key(sum(token[:DEPTH], np.zeros(len(own), np.uint64)), size, 1 << 15)
-        most = min(2, int(size * (1 - SHORT_FIXED) + 1e-9))
-        for places in combinations(range(DEPTH, size), most):
-            owner.append(own)
-            loose.append(key(whole[own] - sum((token[i] for i in places), np.zeros(len(own), np.uint64)), size, 1 << 12 | sum(1 << i for i in places)))
-    owner, loose = np.concatenate(owner), np.concatenate(loose)
-    order = np.argsort(owner, kind="stable")
-    return row, line, np.column_stack(keys)[used], np.cumsum(count) - count, loose[order], np.searchsorted(owner[order], np.arange(len(n))), leaf
+    size = n.astype(np.uint64) * _UNIT
+    lead = total[first + np.minimum(n, DEPTH)] - total[first]
+    long = n >= LEAST_TOKENS
+    parts = []
+    for j in range(FINE):
+        a, b = (first + DEPTH + np.maximum(n - DEPTH, 0) * i // FINE for i in (j, j + 1))
+        a, b = np.where(long, a, np.minimum(first + j, first + n)), np.where(long, b, np.minimum(first + j + 1, first + n))
+        parts.append(total[b] - total[a])
+    return row, line, n, tokens.mix(total[first + n] - total[first] + size), tokens.mix(lead + size), np.column_stack(parts)
 
 
 def templates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -123,20 +109,32 @@ def templates(docs: DataFrame, key: str, text: str) -> DataFrame:
     return named.mapInArrow(run, f"__doc {docs.schema[key].dataType.simpleString()}, __same long, line_no int, templates array<long>")
 
 
-def wide_templates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(__doc, __same, line_no, templates, loose, leaf) of every line with tokens; the leaf is NULL for lines without loose templates."""
+PARTS = [f"part{j}" for j in range(FINE)]
+
+
+def parted_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(__doc, __same, line_no, n, whole, leaf, parts) of every line with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for piece in tokens.pieces(batches, "__text"):
-            row, line, found, begin, loose, loose_begin, leaf = wide_keys(*tokens.text_buffer(piece.column(2)))
-            both = [pa.ListArray.from_arrays(pa.array(np.append(a, len(x)).astype(np.int32)), pa.array(tokens.signed(x))) for a, x in ((begin, found), (loose_begin, loose))]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(line.astype(np.int32)), *both, pa.array(tokens.signed(leaf), mask=leaf == 0)],
-                names=["__doc", "__same", "line_no", "templates", "loose", "leaf"],
-            )
+            row, line, n, whole, leaf, parts = line_parts(*tokens.text_buffer(piece.column(2)))
+            own = [piece.column(i).take(pa.array(row)) for i in (0, 1)]
+            hashes = [pa.array(tokens.signed(np.ascontiguousarray(x))) for x in (whole, leaf, *parts.T)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), *hashes], names=["__doc", "__same", "line_no", "n", "whole", "leaf", *PARTS])
 
     named = docs.select(F.col(key).alias("__doc"), F.xxhash64(text).alias("__same"), F.col(text).alias("__text")).where("__doc is not null")
-    return named.mapInArrow(run, f"__doc {docs.schema[key].dataType.simpleString()}, __same long, line_no int, templates array<long>, loose array<long>, leaf long")
+    return named.mapInArrow(run, f"__doc {docs.schema[key].dataType.simpleString()}, __same long, line_no int, n int, whole long, leaf long, {', '.join(f'{p} long' for p in PARTS)}")
+
+
+def opened(size: int | None) -> Column:
+    """Templates of a line: the hash of its leaf and of its parts but the open ones. For lines of ``size`` tokens, or of many if None."""
+    if size is None:
+        places = list(combinations(range(FINE), 2))
+        kept = [[p for j, p in enumerate(PARTS) if j not in gap] for gap in places]
+    else:
+        places = list(combinations(range(DEPTH, size), min(2, int(size * (1 - SHORT_FIXED) + 1e-9))))
+        kept = [[PARTS[j] for j in range(DEPTH, size) if j not in gap] for gap in places]
+    return F.array(*(F.xxhash64(F.lit(sum(1 << j for j in gap)), "leaf", *own) for gap, own in zip(places, kept, strict=True)))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
@@ -151,18 +149,31 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
 
 def wide_repeated_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The same by the wide rule; a leaf's lines are counted before templates multiply them."""
-    lines = written(wide_templates(docs, key, text), "lines")
-    where = ["__doc", "__same", "line_no"]
-    rows = lines.select(*where, F.explode("templates").alias("template"))
-    recurring = rows.groupBy("template").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("template", "first")
-    found = rows.join(written(recurring, "templates"), "template").where("__doc > first").select(*where)
-    loose = lines.select(*where, "leaf", F.explode("loose").alias("template"))
-    leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("leaf_lines"))
-    counted = loose.groupBy("template").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.count("*").alias("n"), F.first("leaf").alias("leaf"))
-    ruling = counted.where((F.col("first") < F.col("last")) & (F.col("n") >= SHORT_LINES)).join(leaves, "leaf").where(F.col("n") >= SHORT_SHARE * F.col("leaf_lines"))
-    short = loose.drop("leaf").join(written(ruling.select("template", "first"), "loose"), "template").where("__doc > first").select(*where)
-    return found.union(short).groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
+    """The same by the wide rule.
+
+    Equal lines are counted first, so what follows works on different lines, each with the first
+    and last document that has it. A line's later copies go with the whole line; for the
+    templates only its first document matters, and only in leaves where lines begin in
+    different documents. A line goes from every document after the first one of any of its
+    templates.
+    """
+    lines = written(parted_lines(docs, key, text), "lines")
+    once = ["n", "leaf", *PARTS]
+    different = lines.groupBy("whole").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.count("*").alias("lines"), *(F.first(c).alias(c) for c in once))
+    different = written(different, "different")
+    leaves = different.where(F.col("n") >= LEAST_SHORT).groupBy("leaf").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.sum("lines").alias("leaf_lines")).where("low < high")
+    # A shuffle join at every size; adaptive execution splits hot leaves and templates.
+    open_lines = written(different.join(written(leaves.select("leaf", "leaf_lines"), "leaves"), "leaf"), "open")
+    by_size = F.when(F.col("n") >= LEAST_TOKENS, opened(None))
+    for size in range(LEAST_SHORT, LEAST_TOKENS):
+        by_size = by_size.when(F.col("n") == size, opened(size))
+    rows = open_lines.select("whole", "first", "last", "lines", "leaf_lines", (F.col("n") < LEAST_TOKENS).alias("short"), F.explode(by_size).alias("template"))
+    counted = rows.groupBy("template").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.sum("lines").alias("lines"), F.first("leaf_lines").alias("leaf_lines"), F.first("short").alias("short"))
+    ruling = counted.where("low < high").where(~F.col("short") | ((F.col("lines") >= SHORT_LINES) & (F.col("lines") >= SHORT_SHARE * F.col("leaf_lines"))))
+    earlier = rows.select("whole", "first", "template").join(written(ruling.select("template", "low"), "templates"), "template").where("low < first").groupBy("whole").agg(F.min("low").alias("low"))
+    since = different.select("whole", "first", "last").join(written(earlier, "earlier"), "whole", "left").select("whole", "last", F.coalesce("low", "first").alias("since")).where("since < last")
+    found = lines.select("__doc", "__same", "line_no", "whole").join(written(since.select("whole", "since"), "since"), "whole").where("__doc > since")
+    return found.groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", wide: bool = False) -> DataFrame:
@@ -175,11 +186,13 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     lose lines nor make others lose them; repeated rows are one document. With ``wide`` the
     templates are those of the wide rule.
     """
-    repeated = repeated_lines(docs, key, text, wide)
-    tagged = docs.withColumn("__same", F.xxhash64(text))
-    joined = tagged.join(repeated.withColumnRenamed("__same", "__same2"), (F.col(key) == F.col("__doc")) & (F.col("__same") == F.col("__same2")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__lines", i)), "\n")
-    out = joined.withColumn(text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(kept))
+    doc, same, lines = unused(docs, "doc", "same", "lines")
+    repeated = repeated_lines(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", wide).toDF(doc, f"{same}2", lines)
+    tagged = docs.withColumn(same, F.xxhash64(text))
+    joined = tagged.join(repeated, (F.col(key) == F.col(doc)) & (F.col(same) == F.col(f"{same}2")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(lines, i)), "\n")
+    whole = F.col(lines).isNull()
+    out = joined.withColumn(text, F.when(whole, F.col(text)).otherwise(kept))
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("__lines").isNull(), F.col(length)).otherwise(F.length(text).cast("long")))
-    return out.withColumn("n_dropped_lines", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long")).select(*(c for c in docs.columns if c != "n_dropped_lines"), "n_dropped_lines")
+        out = out.withColumn(length, F.when(whole, F.col(length)).otherwise(F.length(text).cast("long")))
+    return out.withColumn("n_dropped_lines", F.when(whole, 0).otherwise(F.size(lines)).cast("long")).select(*(c for c in docs.columns if c != "n_dropped_lines"), "n_dropped_lines")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
-from grainwise.llm.tables import small, written
+from grainwise.llm.tables import small, unused, written
 
 #: One part is added for so many, one at least.
 PARTS_FOR_ONE_MORE = 16
@@ -217,8 +217,9 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     of one key with different texts stay or go together; rows with a NULL key all stay.
     """
     found = written(jaccard_components(docs, width, num, den, splits, key, text), "components")
-    removed = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "removed")
-    again = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"), "again")
-    left = docs.join(small(removed), F.col(key) == F.col("__gone"), "left_anti")
-    repeated = left.join(small(again), F.col(key) == F.col("__again"), "left_semi").dropDuplicates([key, text])
-    return left.join(small(again), F.col(key) == F.col("__again"), "left_anti").union(repeated)
+    gone_key, again_key = unused(docs, "gone", "again")
+    removed = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_key)).distinct(), "removed")
+    again = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(again_key)).agg(F.count("*").alias("n")).where("n > 1").select(again_key), "again")
+    left = docs.join(small(removed), F.col(key) == F.col(gone_key), "left_anti")
+    repeated = left.join(small(again), F.col(key) == F.col(again_key), "left_semi").dropDuplicates([key, text])
+    return left.join(small(again), F.col(key) == F.col(again_key), "left_anti").union(repeated)

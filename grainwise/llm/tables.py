@@ -21,6 +21,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as keep them from all columns of ``df``."""
+    mark = "__"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a written table of narrow rows has at most ``limit`` rows."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -194,3 +194,58 @@ def test_wide_templates_drop_what_the_narrow_ones_drop(spark, odd, none, sf):
         narrow, wide = ({(r["__doc"], r["__same"]): set(r["__lines"]) for r in line_templates.repeated_lines(df, wide=w).collect()} for w in (False, True))
         assert narrow and all(lines <= wide[k] for k, lines in narrow.items())
     assert line_templates.drop_recurring(odd, wide=True).count() == odd.count() and line_templates.drop_recurring(none, wide=True).count() == 0
+
+
+def wide_brute(rows):
+    """Lines that go by the wide rule, from templates written out as tuples of tokens and gaps."""
+    from itertools import combinations
+
+    keys, first, leaf_lines, uses = defaultdict(list), {}, Counter(), Counter()
+    for doc, text in rows:
+        for i, raw in enumerate(text.split("\n")):
+            toks = ["<*>" if any(c in "0123456789" for c in w) else w for w in raw.split()]
+            n = len(toks)
+            if not n:
+                continue
+            leaf = (n, *toks[:2])
+            leaf_lines[leaf] += 1
+            own = [("whole", *toks)]
+            if n >= 8:
+                cut = [2 + (n - 2) * j // 8 for j in range(9)]
+                own += [(leaf, g, *(tuple(toks[cut[j] : cut[j + 1]]) for j in range(8) if j not in g)) for g in combinations(range(8), 2)]
+            elif n >= 4:
+                own += [("short", leaf, g, *(toks[j] for j in range(2, n) if j not in g)) for g in combinations(range(2, n), min(2, int(n * 0.4 + 1e-9)))]
+            for k in own:
+                keys[doc, i].append(k)
+                first[k] = min(first.get(k, doc), doc)
+                uses[k] += 1
+    rules = lambda k: k[0] != "short" or (uses[k] >= 3 and uses[k] >= 0.5 * leaf_lines[k[1]])
+    return {(doc, i) for (doc, i), own in keys.items() if any(first[k] < doc and rules(k) for k in own)}
+
+
+def test_wide_templates_equal_brute_force(spark, sf):
+    rng = random.Random(8)
+    words = [f"w{chr(97 + i)}" for i in range(6)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randrange(9)):
+            n = rng.choice([1, 3, 4, 5, 6, 7, 8, 9, 12, 17])
+            base = [words[(i * 5 + n) % 6] for i in range(n)]
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                base[rng.randrange(n)] = rng.choice([*words, "7", f"x{d}"])
+            lines.append(rng.choice([" ", "  ", "\t"]).join(base))
+        rows.append((d, "\n".join(lines)))
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for own in (rows, docs):
+        df = spark.createDataFrame(own, "doc_id long, text string").repartition(5)
+        got = {(r["__doc"], i) for r in line_templates.repeated_lines(df, wide=True).collect() for i in r["__lines"]}
+        assert got == wide_brute(own) and got
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a line", 5, 6), (2, "a line", 7, 8)], "doc_id long, text string, __doc long, __same long").selectExpr("*", "9 as __lines", "3 as __gone", "4 as __again", "1 as whole", "2 as leaf")
+    got = line_templates.drop_recurring(df, wide=True)
+    assert got.columns == [*df.columns, "n_dropped_lines"] and {r.doc_id: (r.text, r["__same"], r["__lines"], r.leaf) for r in got.collect()} == {1: ("a line", 6, 9, 2), 2: ("", 8, 9, 2)}
+    kept = partenum_join.one_of_each(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a line", 5, 6, 9, 3, 4, 1, 2)]
