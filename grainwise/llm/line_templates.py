@@ -7,7 +7,7 @@ if they agree outside one variable run; shorter lines must agree in all tokens b
 digit-bearing ones. Templates are keys that do not depend on the order of arrival, so the tree
 needs no task that sees a whole leaf: counting is one partially aggregated shuffle.
 
-That is the rule of the query's SQL. The ``wide`` rule, which the pipeline uses, finds more: a
+The ``wide`` rule, which the query and the pipeline use, finds more: a
 template has any two of ``FINE`` runs open, so the variable words may stand apart but still are
 a quarter of the line at most, and lines of ``LEAST_SHORT`` tokens on have up to two open
 places of their own. As little is fixed in those, such a template must also hold at least

@@ -14,16 +14,29 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_RUN = ", ".join(
-    f"[n::VARCHAR, 'run{j}'] || toks[1:2 + ((n - 2) * {j} // 4)] || ['<gap>'] || toks[3 + ((n - 2) * {j + 1} // 4):]" for j in range(4)
-)
+def _open_runs() -> str:
+    """Templates of a line of 8 tokens on: any two of eight runs open."""
+    cut = lambda j: f"toks[3 + ((n - 2) * {j} // 8) : 2 + ((n - 2) * {j + 1} // 8)]"
+    gaps = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+    return ", ".join(f"['runs {i} {j}'] || leaf || " + " || ".join("['<gap>']" if k in (i, j) else cut(k) for k in range(8)) for i, j in gaps)
+
+
+def _open_places(n: int, most: int) -> str:
+    """Templates of a line of ``n`` tokens, 4 to 7: one or two places open behind the first two tokens."""
+    gaps = [(i, j) for i in range(3, n + 1) for j in range(i, n + 1) if (j > i) == (most == 2)]
+    return ", ".join(f"['places'] || leaf || [{', '.join(chr(39) + '<gap>' + chr(39) if k in gap else f'toks[{k}]' for k in range(3, n + 1))}]" for gap in gaps)
+
+
 LINES_SQL = rf"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, i, [x FOR x IN regexp_split_to_array(regexp_replace(ls[i], '[^ \t\r]*[0-9][^ \t\r]*', '<*>', 'g'), '[ \t\r]+') IF x <> ''] AS toks
           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)),
-counted AS (SELECT *, len(toks) AS n FROM lines WHERE len(toks) > 0),
-keys AS (SELECT doc_id, i, unnest(CASE WHEN n < 8 THEN [['whole'] || toks] ELSE [['whole'] || toks, {_RUN}] END) AS k FROM counted),
-firsts AS (SELECT k, min(doc_id) AS f FROM keys GROUP BY k),
+counted AS (SELECT *, len(toks) AS n, [len(toks)::VARCHAR] || toks[1:2] AS leaf FROM lines WHERE len(toks) > 0),
+leaves AS (SELECT leaf, count(*) AS leaf_lines FROM counted GROUP BY leaf),
+keys AS (SELECT doc_id, i, leaf, unnest([['whole'] || toks] || CASE WHEN n >= 8 THEN [{_open_runs()}] WHEN n = 7 THEN [{_open_places(7, 2)}]
+           WHEN n = 6 THEN [{_open_places(6, 2)}] WHEN n = 5 THEN [{_open_places(5, 2)}] WHEN n = 4 THEN [{_open_places(4, 1)}] ELSE [] END) AS k FROM counted),
+firsts AS (SELECT k, min(doc_id) AS f FROM keys JOIN leaves USING (leaf) GROUP BY k
+           HAVING k[1] <> 'places' OR (count(*) >= 3 AND count(*) >= 0.5 * max(leaf_lines))),
 gone AS (SELECT doc_id, list(DISTINCT i) AS lost FROM keys JOIN firsts USING (k) WHERE doc_id > f GROUP BY doc_id),
 kept AS (SELECT doc_id, CASE WHEN lost IS NULL THEN text ELSE coalesce(array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(lost, i)], chr(10)), '') END AS text,
                 coalesce(len(lost), 0) AS n_dropped_lines, lost FROM docs LEFT JOIN gone USING (doc_id))
@@ -34,7 +47,7 @@ FROM documents d JOIN kept k USING (doc_id)
 
 @query("op2_line_templates", LINES_SQL)
 def line_templates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents"), wide=True)
 
 
 def _canonical_sql(text: str) -> str:
