@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from grainwise.llm import tokens
 
 WINDOW = 2048
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
 #: Words kept with their ids by one task.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
