@@ -334,11 +334,11 @@ def numeric_column_summary(df: DataFrame, null_threshold: float = 95.0) -> DataF
     wide = df.agg(*(make(known(F.col(f"`{f.name}`"))).alias(f"{m}_{i}") for i, f in enumerate(fields) for m, make in measures.items()))
     base = wide.select(F.inline(F.array(*(F.struct(name(f), *(F.col(f"{m}_{i}").alias(m) for m in measures)) for i, f in enumerate(fields)))))
     probs = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    parts = []
+    parts, rows = [], df.count()
     for kind, own in (("bigint", [f for f in fields if isinstance(f.dataType, WHOLE)]), ("double", [f for f in fields if not isinstance(f.dataType, WHOLE)])):
         if own:
             entries = [F.struct(name(f), F.col(f"`{f.name}`").cast(kind).alias("value")) for f in own]
-            parts.append(exact_percentiles(df.select(F.inline(F.array(*entries))), ["column"], "value", probs, distinct="unique"))
+            parts.append(exact_percentiles(df.select(F.inline(F.array(*entries))), ["column"], "value", probs, "unique", (len(own), rows)))
     quartiles = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     joined = join_on_keys(base.where(F.col("null_pct") <= null_threshold), quartiles, ["column"], "left")
     return joined.withColumns(

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.functions.stats import known
-from grainwise.plans.scratch import fits_one_task, join_measured, join_on_keys, materialize
+from grainwise.plans.ranks import distinct_counts, group_sizes, missed, sketched_counts, worth_sketching
+from grainwise.plans.scratch import fits_one_task, group_bound, join_measured, join_on_keys, materialize
 
 BLOCK_ROWS = 65_536
 
@@ -244,27 +245,55 @@ def exact_percentiles(
     value: str,
     probs: Mapping[str, float],
     distinct: str | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles per group, one column per entry of ``probs``.
 
-    Equal values are merged into counts, and the wanted ranks are located on running
-    counts, which are distributed for groups beyond the bound. ``distinct`` names an
-    output column for the number of different values.
+    Long groups go by sketches, which bracket each rank, and a scan that keeps the values in
+    the brackets. Else equal values are merged into counts. The wanted ranks are located on
+    running counts, which are distributed for groups beyond the bound. ``distinct`` names an
+    output column for the number of different values. ``sizes`` are known bounds of the number of
+    groups and of the rows in one. Groups without values have no row.
     """
     # NaN is missing, as NULL is; among the values it would stand above all others.
     real = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
     present = df.where(known(value).isNotNull() if real else F.col(value).isNotNull()).select(*keys, value)
+    groups, largest = sizes or group_sizes(present, keys)
+    if worth_sketching(present, groups, largest):
+        counted = sketched_counts(present, keys, value, list(probs.values()))
+        picked = materialize(_at_ranks(counted, keys, ["__cell", "__out", value], value, probs, {}, fits_one_task(counted, keys)))
+        if not missed(picked, list(probs)):
+            if not distinct:
+                return picked.select(*keys, *probs)
+            different = distinct_counts(present, keys, value, distinct)
+            if not keys:
+                return picked.withColumn(distinct, different.select(distinct).scalar())
+            return join_on_keys(picked, different, keys).select(*keys, *probs, distinct)
     counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    bounded = fits_one_task(present, keys)
+    bounded = largest <= group_bound(df.sparkSession) > 0
     if not bounded:
         # Merged counts may be few although the rows are many, so look again. They are
         # written once rather than computed for the look and again for the use.
         counted = materialize(counted)
         bounded = fits_one_task(counted, keys)
-    totals = {"__n": "__c"}
+    totals = {}
     if distinct:
-        counted, totals = counted.withColumn("__one", F.lit(1).cast("bigint")), {**totals, distinct: "__one"}
-    ranked = prefix_sums(counted, keys, [value], {"__upto": "__c"}, totals, bounded)
+        counted, totals = counted.withColumn("__one", F.lit(1).cast("bigint")), {distinct: "__one"}
+    return _at_ranks(counted, keys, [value], value, probs, totals, bounded).select(*keys, *probs, *totals)
+
+
+def _at_ranks(
+    counted: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    totals: Mapping[str, str],
+    bounded: bool,
+) -> DataFrame:
+    """Interpolated values at the wanted ranks of rows that stand for ``__c`` rows each."""
+    totals = {"__n": "__c", **totals}
+    ranked = prefix_sums(counted, keys, order, {"__upto": "__c"}, totals, bounded)
     targets = {name: f"((__n - 1) * {p!r}D)" for name, p in probs.items()}
     # Only the rows that hold a wanted rank go on: at most two per group and percentile.
     # A short array test keeps the generated code of this step small.
@@ -284,7 +313,7 @@ def exact_percentiles(
         )
         for name, t in targets.items()
     ]
-    return picked.select(*keys, *interpolated, *([distinct] if distinct else []))
+    return picked.select(*keys, *interpolated, *(name for name in totals if name != "__n"))
 
 
 def hash_order(columns: Sequence[str], seed: int) -> Column:

@@ -10,6 +10,7 @@ from support import rows
 from pyspark.sql import functions as F
 
 from grainwise.plans import ordering as O
+from grainwise.plans import ranks as R
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +125,57 @@ def test_hash_order_is_repeatable(table):
     once = rows(table.select("id", O.hash_order(["id"], 1).alias("h")))
     assert once == rows(table.select("id", O.hash_order(["id"], 1).alias("h")))
     assert once != rows(table.select("id", O.hash_order(["id"], 2).alias("h")))
+
+
+@pytest.fixture(scope="module")
+def long_groups(spark):
+    rng = np.random.RandomState(3)
+    n = 40_000
+    v = np.where(rng.rand(n) < 0.3, rng.randint(0, 5, n), rng.lognormal(3, 2, n))
+    rows = [("hot" if i < 30_000 else ["mid", "low", None][i % 3] if i < n - 50 else "tiny", float(x), int(x * 100)) for i, x in enumerate(v)]
+    rows += [("hot", float("inf"), 2**60), ("hot", float("-inf"), -(2**60)), ("hot", float("nan"), 0), ("hot", None, None)]
+    return rows, spark.createDataFrame(rows, "k string, v double, w bigint").repartition(6)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("value", ["v", "w"])
+def test_sketched_ranks_are_exact(spark, long_groups, either_path, keys, value):
+    rows, df = long_groups
+    probs = {f"p{i}": p for i, p in enumerate([0.0, 0.001, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0])}
+    spark.conf.set("spark.grainwise.sketchRows", "9000")
+    try:
+        found = {r["k"] if keys else 0: r for r in O.exact_percentiles(df, keys, value, probs, distinct="d").collect()}
+    finally:
+        spark.conf.unset("spark.grainwise.sketchRows")
+    at = 1 if value == "v" else 2
+    groups = {}
+    for r in rows:
+        if r[at] is not None and r[at] == r[at]:
+            groups.setdefault(r[0] if keys else 0, []).append(r[at])
+    assert set(found) == set(groups)
+    for key, own in groups.items():
+        own = sorted(map(float, own))
+        for name, p in probs.items():
+            a = own[int(np.floor((len(own) - 1) * p))]
+            b = own[int(np.ceil((len(own) - 1) * p))]
+            want = a if a == b else a + ((len(own) - 1) * p) % 1 * (b - a)
+            assert found[key][name] == pytest.approx(want) or (np.isinf(a) or np.isinf(b))
+        assert found[key].d == len(set(own))
+
+
+def test_few_values_leave_the_scan_of_sketched_ranks(spark):
+    df = spark.range(400_000).selectExpr("cast(hash(id) as double) as v")
+    counted = R.sketched_counts(df, [], "v", [0.25, 0.5, 0.75])
+    assert counted.count() < 400_000 * 3 * 2.5 * R.REACH + 20 and counted.agg({"__c": "sum"}).first()[0] == 400_000
+    assert R.missed(spark.createDataFrame([(1.0, None)], "a double, b double"), ["a", "b"])
+
+
+def test_ranks_outside_their_brackets_are_found_by_merging(spark, long_groups, monkeypatch):
+    _, df = long_groups
+    want = O.exact_percentiles(df, ["k"], "w", {"m": 0.5}).collect()
+    spark.conf.set("spark.grainwise.sketchRows", "9000")
+    monkeypatch.setattr(O, "missed", lambda picked, names: True)
+    try:
+        assert sorted(map(str, O.exact_percentiles(df, ["k"], "w", {"m": 0.5}).collect())) == sorted(map(str, want))
+    finally:
+        spark.conf.unset("spark.grainwise.sketchRows")
