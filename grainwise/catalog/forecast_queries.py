@@ -90,3 +90,23 @@ def best_seasonal_period(spark, sf_dir):
 )
 def rolling_origin_backtest(spark, sf_dir):
     return rounded(F_.backtest(signal(spark, sf_dir), KEYS, ORDER, "value", 5, [5, 10, 20]), 6, mape=4)
+
+
+@query(
+    "seasonal_backtest",
+    f"""{S}, d AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY series_id ORDER BY pos)) AS step_error FROM signal),
+    o AS (SELECT series_id, value, step_error, n, c, pos - (n - c) AS off FROM d, (VALUES (6), (12), (24)) v(c)),
+    z AS (SELECT series_id, c, avg(step_error) AS scale FROM o WHERE off < 0 GROUP BY ALL),
+    f AS (SELECT series_id, c, arg_max(value, off) AS naive, avg(value) AS ma FROM o WHERE off BETWEEN -5 AND -1 AND n > c GROUP BY ALL),
+    g AS (SELECT series_id, c, off, value AS y FROM o WHERE off BETWEEN 0 AND 5),
+    l AS (SELECT series_id, c, 'naive' AS model, y, abs(y - naive) AS e FROM g JOIN f USING (series_id, c)
+      UNION ALL SELECT series_id, c, 'moving_average', y, abs(y - ma) FROM g JOIN f USING (series_id, c)
+      UNION ALL SELECT g.series_id, g.c, 'seasonal_naive_' || p, y, abs(y - o.value) FROM g, (VALUES (4), (7)) w(p), o
+        WHERE o.series_id = g.series_id AND o.c = g.c AND o.n - o.c >= p AND o.off = g.off % p - p)
+    SELECT CAST(c AS INTEGER) AS cutoff, model, {r('avg(e)', 'mae')}, {r('sqrt(avg(e * e))', 'rmse')},
+      {r('avg(e / nullif(abs(y), 0)) * 100', 'mape', 4)}, {r('avg(e / nullif(scale, 0))', 'mase')}
+    FROM l JOIN z USING (series_id, c) GROUP BY c, model""",
+)
+def seasonal_backtest(spark, sf_dir):
+    scores = F_.backtest(signal(spark, sf_dir), KEYS, ORDER, "value", 6, [6, 12, 24], periods=[4, 7])
+    return rounded(scores, 6, mape=4)

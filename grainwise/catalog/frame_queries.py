@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grainwise.catalog.registry import query, r, rounded
 from grainwise.operators import grain as G
-from grainwise.sources.views import BILLING_SQL, billing_frame
+from grainwise.sources.views import BILLING_SQL, billing_frame, table
 
 WITH = f"WITH {BILLING_SQL}"
 SUMMARY = f"""{r('sum(cost)', 'total_cost', 2)}, {r('avg(cost)', 'mean_cost', 4)},
@@ -288,3 +288,27 @@ FD_COLUMNS = ["r_name", "n_name", "c_mktsegment", "o_orderpriority"]
 )
 def functional_dependencies(spark, sf_dir):
     return G.functional_dependencies(billing_frame(spark, sf_dir).df, FD_COLUMNS)
+
+
+CHAIN = ["c_custkey", "c_name", "n_name", "r_name"]
+CHAIN_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b FROM chain HAVING count(DISTINCT {a}::VARCHAR) = count(DISTINCT {a}::VARCHAR || '|' || {b}::VARCHAR)"
+    for a in CHAIN
+    for b in CHAIN
+    if a != b
+)
+
+
+@query(
+    "dependency_edges",
+    f"""WITH RECURSIVE chain AS (SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+      JOIN region ON n_regionkey = r_regionkey),
+    e AS ({CHAIN_SQL}),
+    walk(a, b, len) AS (SELECT a, b, 1 FROM e WHERE (b, a) NOT IN (SELECT a, b FROM e)
+      UNION SELECT w.a, e.b, len + 1 FROM walk w JOIN e ON w.b = e.a WHERE (e.b, e.a) NOT IN (SELECT a, b FROM e) AND len < 9)
+    SELECT a AS determinant, b AS dependent FROM e WHERE (a, b) NOT IN (SELECT a, b FROM walk WHERE len > 1)""",
+)
+def dependency_edges(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return G.dependency_edges(G.functional_dependencies(customers.select(*CHAIN), CHAIN))

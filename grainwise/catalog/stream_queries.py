@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from grainwise.catalog.cost_queries import FLAGS_SQL
 from grainwise.catalog.registry import query, r, rounded
 from grainwise.sources.views import METRICS_SQL, metrics_of, table
-from grainwise.streaming.rollup import read_stream, run_available, stream_flags, stream_roll_up, stream_violations
+from grainwise.plans.scratch import scratch_path
+from grainwise.streaming.rollup import accepted, quarantine_stream, quarantined, read_stream, run_available, stream_flags, stream_roll_up, stream_violations
 
 
 def event_stream(spark, sf_dir):
@@ -50,3 +51,22 @@ def stream_interval_violations(spark, sf_dir):
     )
     found = stream_violations(event_stream(spark, sf_dir), bounds, ["event_type"], "value")
     return run_available(found.select("event_id", "event_type", "value"), "violations")
+
+
+@query(
+    "stream_quarantine",
+    """SELECT event_id, value <= 100 AND value >= 1 AS is_valid, list_filter([CASE WHEN value > 100 THEN 'cpu_utilization out of valid range [0, 100]' END,
+      CASE WHEN value < 1 THEN 'hourly_cost cannot be negative' END], lambda x: x IS NOT NULL) AS violations FROM events""",
+)
+def stream_quarantined(spark, sf_dir):
+    """Both sides of the stream after it has run and been started once more over the same files."""
+    value = F.col("value")
+    rows = event_stream(spark, sf_dir).select(
+        "event_id", value.alias("cpu_utilization"), F.lit(50.0).alias("memory_utilization"), (value - 1).alias("hourly_cost")
+    )
+    path = scratch_path(spark, "quarantine")
+    for _ in range(2):
+        quarantine_stream(rows, f"{path}/rows", f"{path}/state").start().awaitTermination()
+    good = accepted(spark, f"{path}/rows", rows.schema).withColumn("violations", F.array().cast("array<string>"))
+    both = good.unionByName(quarantined(spark, f"{path}/rows", rows.schema))
+    return both.select("event_id", (F.size("violations") == 0).alias("is_valid"), "violations")

@@ -190,3 +190,32 @@ def lag_correlations(spark, sf_dir):
 def subsample_autocorrelation(spark, sf_dir):
     compared = V.subsample_autocorrelation(signal(spark, sf_dir), 5, "value", KEYS, ORDER, (1, 10, 20))
     return rounded(compared, 5)
+
+
+@query(
+    "large_random_pick",
+    """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+    ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, '42')), l_orderkey, l_linenumber, l_partkey LIMIT 20000""",
+)
+def large_random_pick(spark, sf_dir):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return V.sample_rows(table(spark, sf_dir, "lineitem").select(*keys), 20000, keys)
+
+
+@query(
+    "anomaly_training_set",
+    f"""{M}, {ANOMALY}, v AS (SELECT *, CAST(win AS BIGINT) AS "window" FROM a WHERE win + 6 <= n),
+    c AS (SELECT count(*) FILTER (label = 0) AS normal, count(*) FILTER (label = 1) AS have FROM v),
+    t AS (SELECT ceil(normal * 0.5) AS want, have FROM c),
+    p AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', resource_id, label, win, '42')),
+      resource_id, label, win) - 1 AS place FROM v WHERE label = 1),
+    e AS (SELECT resource_id, label, "window", cpu_sequence, memory_sequence, cost_sequence,
+        CAST(unnest(range(greatest(1, CAST(floor(want / have) AS BIGINT) + CASE WHEN place < want % have THEN 1 ELSE 0 END))) AS INTEGER) AS replica FROM p, t
+      UNION ALL SELECT resource_id, label, "window", cpu_sequence, memory_sequence, cost_sequence, 0 FROM v WHERE label = 0),
+    s AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', resource_id, label, "window", replica, '42')), resource_id, label, "window", replica) - 1 AS shuffled_at,
+      count(*) OVER () AS total FROM e)
+    SELECT resource_id, label, "window", replica, cpu_sequence, memory_sequence, cost_sequence, shuffled_at,
+      CASE WHEN shuffled_at < floor(total * 0.8) THEN 'train' ELSE 'test' END AS split FROM s""",
+)
+def anomaly_training_set(spark, sf_dir):
+    return V.anomaly_training_set(metrics(spark, sf_dir), 6, 0.5, tie_cols=["event_id"]).drop("timestamp", "event_id")

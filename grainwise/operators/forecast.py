@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.plans.ordering import ordered_windows, with_position
-from grainwise.plans.scratch import join_on_keys
+from grainwise.plans.scratch import join_on_keys, materialize
 
 
 def positioned(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -70,6 +70,17 @@ def naive_scale(train: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return lagged.groupBy(*keys).agg(F.avg(F.abs(F.col(value_col) - F.col("__before"))).alias("scale"))
 
 
+def _with_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_col: str) -> DataFrame:
+    """Series with ``pos``, ``n`` and the value before, from one window."""
+    lag = lambda spec: {"__before": F.lag(value_col).over(spec)}
+    return ordered_windows(df.select(*keys, *order, value_col), keys, order, lag, before=1, pos="pos", length="n")
+
+
+def _one_step_error(value_col: str, when: Column | None = None) -> Column:
+    error = F.abs(F.col(value_col) - F.col("__before"))
+    return F.avg(error if when is None else F.when(when, error))
+
+
 def point_metrics(scored: DataFrame, group_cols: Sequence[str], value_col: str = "y_true") -> DataFrame:
     """MAE, RMSE, MAPE and, with a ``scale`` column, MASE.
 
@@ -100,7 +111,8 @@ def compare_baselines(
     One row per model, best MASE first; ``best`` marks the winner.
     """
     keys, order = list(keys), list(order)
-    train, test = holdout(positioned(df.select(*keys, *order, value_col), keys, order), horizon)
+    # Positions and lags come from one window and are written once for all models.
+    train, test = holdout(materialize(_with_lag(df, keys, order, value_col)), horizon)
     forecasts = [naive_forecast(train, keys, value_col, horizon).withColumn("model", F.lit("naive"))]
     forecasts += [
         seasonal_naive_forecast(train, keys, value_col, horizon, p).withColumn("model", F.lit(f"seasonal_naive_{p}"))
@@ -113,7 +125,7 @@ def compare_baselines(
     predicted = reduce(DataFrame.unionByName, forecasts)
     actual = join_on_keys(
         test.select(*keys, "step", F.col(value_col).alias("y_true")),
-        naive_scale(train, keys, order, value_col),
+        train.groupBy(*keys).agg(_one_step_error(value_col).alias("scale")),
         keys,
         "left",
     )
@@ -139,32 +151,54 @@ def backtest(
     horizon: int,
     cutoffs_back: Sequence[int],
     window: int = 5,
+    periods: Sequence[int] = (),
 ) -> DataFrame:
-    """Rolling-origin scores of the naive and moving-average forecasts.
+    """Rolling-origin scores of the naive, moving-average and seasonal-naive forecasts.
 
     A cut-off of b trains on all but the last b rows and scores the ``horizon`` rows that
-    follow. Only the rows that some cut-off reaches are paired with the cut-offs.
+    follow. Only the rows that some cut-off reaches are paired with the cut-offs. A season of
+    ``periods`` rows forecasts each step by the row of its phase in the last full cycle before
+    the cut-off; a series with less than a cycle before it is not scored for that period. With
+    periods there is also MASE, by the one-step errors before the cut-off.
     """
     keys, order = list(keys), list(order)
     if min(cutoffs_back) < horizon:
         raise ValueError("every cut-off must leave at least `horizon` rows to score")
-    placed = positioned(df.select(*keys, *order, value_col), keys, order)
+    placed = _with_lag(df, keys, order, value_col) if periods else positioned(df.select(*keys, *order, value_col), keys, order)
+    placed = materialize(placed) if periods else placed
     origins = F.array(*(F.lit(b) for b in cutoffs_back))
-    reached = placed.where(F.col("pos") >= F.col("n") - (max(cutoffs_back) + window))
+    reached = placed.where(F.col("pos") >= F.col("n") - (max(cutoffs_back) + max(window, *periods, 0)))
     relative = reached.withColumn("cutoff", F.explode(origins)).withColumn(
         "offset", F.col("pos") - (F.col("n") - F.col("cutoff"))
     )
     group = [*keys, "cutoff"]
-    recent = relative.where((F.col("offset") < 0) & (F.col("offset") >= -window) & (F.col("n") > F.col("cutoff")))
-    fitted = recent.groupBy(*group).agg(
+    trained = relative.where((F.col("offset") < 0) & (F.col("n") > F.col("cutoff")))
+    fitted = trained.where(F.col("offset") >= -window).groupBy(*group).agg(
         F.max_by(value_col, "offset").alias("naive"), F.avg(value_col).alias("moving_average")
     )
     actual = relative.where((F.col("offset") >= 0) & (F.col("offset") < horizon)).select(
-        *group, F.col(value_col).alias("y_true")
+        *group, "offset", F.col(value_col).alias("y_true")
     )
     models = [
         F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("y_pred"))
         for m in ("naive", "moving_average")
     ]
-    scored = join_on_keys(actual, fitted, group).select("cutoff", "y_true", F.inline(F.array(*models)))
-    return point_metrics(scored, ["cutoff", "model"])
+    scored = join_on_keys(actual, fitted, group).select(*group, "y_true", F.inline(F.array(*models)))
+    if not periods:
+        return point_metrics(scored, ["cutoff", "model"])
+    named = lambda p: F.lit(f"seasonal_naive_{p}").alias("model")
+    season = [
+        trained.where((F.col("offset") >= -p) & (F.col("n") - F.col("cutoff") >= p)).select(
+            *group, named(p), (F.col("offset") + p).alias("phase"), F.col(value_col).cast("double").alias("y_pred")
+        )
+        for p in periods
+    ]
+    phases = F.array(*(F.struct(named(p), (F.col("offset") % p).alias("phase")) for p in periods))
+    wanted = actual.select(*group, "y_true", F.inline(phases))
+    seasonal = join_on_keys(wanted, reduce(DataFrame.unionByName, season), [*group, "model", "phase"])
+    scales = placed.groupBy(*keys).agg(
+        *(_one_step_error(value_col, F.col("pos") < F.col("n") - b).alias(f"__scale_{i}") for i, b in enumerate(cutoffs_back))
+    )
+    by_cutoff = F.array(*(F.struct(F.lit(b).alias("cutoff"), F.col(f"__scale_{i}").alias("scale")) for i, b in enumerate(cutoffs_back)))
+    both = scored.unionByName(seasonal.select(*scored.columns))
+    return point_metrics(join_on_keys(both, scales.select(*keys, F.inline(by_cutoff)), group, "left"), ["cutoff", "model"])

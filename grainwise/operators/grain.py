@@ -193,3 +193,17 @@ def minimal_dependencies(dependencies: DataFrame) -> list[tuple[str, str]]:
         return any((c, b) in edges and (c, a) not in edges and (b, c) not in edges for c in middles)
 
     return sorted((a, b) for a, b in edges if not implied(a, b))
+
+
+def dependency_edges(dependencies: DataFrame) -> DataFrame:
+    """``minimal_dependencies`` as a table (determinant, dependent).
+
+    Dependencies are transitive, so an edge is implied if one column between its ends is enough
+    to go round it, which neither end determines back. One row per column pair goes in.
+    """
+    held = dependencies.where("holds").select("determinant", "dependent")
+    edge = lambda name, a, b: held.select(F.col("determinant").alias(a), F.col("dependent").alias(b), F.lit(True).alias(name))
+    steps = edge("ac", "a", "c").join(edge("cb", "c", "b"), "c").where("a <> b")
+    one_way = steps.join(edge("ca", "c", "a"), ["c", "a"], "left_anti").join(edge("bc", "b", "c"), ["b", "c"], "left_anti")
+    implied = one_way.select(F.col("a").alias("determinant"), F.col("b").alias("dependent")).distinct()
+    return held.join(implied, ["determinant", "dependent"], "left_anti")

@@ -8,16 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.functions.stats import pearson
-from grainwise.plans.ordering import exact_percentiles, hash_order, ordered_windows, with_position
+from grainwise.plans.ordering import exact_percentiles, hash_order, ordered_windows, pick_by_hash, with_position
 from grainwise.plans.scratch import join_on_keys
 
 
-def _slices(value_cols: Sequence[str], length: int, spec) -> dict[str, Column]:
-    """Arrays of the next ``length`` values, NULLs kept (collect_list alone drops them)."""
-    frame = spec.rowsBetween(0, length - 1)
-    # Reading a field of an array of structs gives the array of that field.
-    rows = F.collect_list(F.struct(*value_cols)).over(frame)
-    return {f"__{c}": rows.getField(c) for c in value_cols}
+#: Least rows in a block of a series whose windows are cut at once.
+WINDOW_BLOCK = 1024
+
+
+def _cut_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int, beyond: int = 0) -> DataFrame:
+    """(keys, __at, __window): windows of ``length`` rows from every ``stride``-th position on.
+
+    A window also holds the ``beyond`` rows that follow it, and one that lacks any of its rows
+    is left out. Rows are sent to the block of their position, the first rows of a block to the one before
+    as well; each block is put in order once and its windows are slices of it. Rows that start
+    no window so make no array, and a hot series is as many groups as it has blocks.
+    """
+    reach = length + beyond
+    size = -(-max(WINDOW_BLOCK, reach) // stride) * stride
+    placed = with_position(df, keys, order, pos="__at", length="__n")
+    home, offset = F.floor(F.col("__at") / F.lit(size)).cast("bigint"), F.col("__at") % size
+    both = F.array_compact(F.array(home, F.when((offset < reach - 1) & (home > 0), home - 1)))
+    row = F.struct("__at", *(c for c in df.columns if c not in keys))
+    blocks = placed.withColumn("__block", F.explode(both)).groupBy(*keys, "__block").agg(F.sort_array(F.collect_list(row)).alias("__rows"), F.first("__n").alias("__n"))
+    first = F.col("__block") * size
+    last = F.least(first + size - 1, F.col("__n") - reach)
+    starts = F.when(last >= first, F.sequence(first, last, F.lit(stride).cast("bigint")))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("__at"), F.slice("__rows", (s - first + 1).cast("int"), reach).alias("__window")))
+    return blocks.select(*keys, F.inline(cut))
 
 
 def forecast_sequences(
@@ -34,30 +52,15 @@ def forecast_sequences(
     A sequence never crosses a resource, and one that has no next row is left out.
     """
     keys = list(keys)
-
-    def columns(spec) -> dict[str, Column]:
-        return {
-            **_slices([target_col], length, spec),
-            "target": F.lead(target_col, length).over(spec),
-            "end_time": F.lead(time_col, length - 1).over(spec),
-        }
-
-    built = ordered_windows(
-        df.select(*keys, time_col, *tie_cols, target_col),
-        keys,
-        [time_col, *tie_cols],
-        columns,
-        after=length,
-        pos="__at",
-        length="__n",
-    )
-    kept = built.where((F.col("__at") % stride == 0) & (F.col("__at") + length < F.col("__n")))
-    return kept.select(
+    rows = df.select(*keys, time_col, *tie_cols, F.col(target_col).alias("__value"))
+    cut = _cut_windows(rows, keys, [time_col, *tie_cols], length, stride, beyond=1)
+    at = lambda i, c: F.get("__window", F.lit(i)).getField(c)
+    return cut.select(
         *keys,
-        F.col(f"__{target_col}").alias("input_sequence"),
-        "target",
-        F.col(time_col).alias("start_time"),
-        "end_time",
+        F.slice(F.col("__window").getField("__value"), 1, length).alias("input_sequence"),
+        at(length, "__value").alias("target"),
+        at(0, time_col).alias("start_time"),
+        at(length - 1, time_col).alias("end_time"),
     )
 
 
@@ -89,24 +92,15 @@ def anomaly_windows(
     labelled = df.where(F.col(label_col).isNotNull()).select(
         *keys, time_col, *tie_cols, *metrics, F.col(label_col).cast("int").alias("label")
     )
-    built = ordered_windows(
-        labelled,
-        [*keys, "label"],
-        [time_col, *tie_cols],
-        lambda spec: _slices(metrics, window_size, spec),
-        after=window_size,
-        pos="__at",
-        length="__n",
-    )
-    return built.where(F.col("__at") + window_size <= F.col("__n")).select(
+    cut = _cut_windows(labelled, [*keys, "label"], [time_col, *tie_cols], window_size, stride=1)
+    start = F.get("__window", F.lit(0))
+    return cut.select(
         *keys,
-        F.col(time_col).alias("timestamp"),
-        *tie_cols,
+        start.getField(time_col).alias("timestamp"),
+        *(start.getField(c).alias(c) for c in tie_cols),
         "label",
         F.col("__at").alias("window"),
-        F.col("__cpu_utilization").alias("cpu_sequence"),
-        F.col("__memory_utilization").alias("memory_sequence"),
-        F.col("__hourly_cost").alias("cost_sequence"),
+        *(F.col("__window").getField(c).alias(f"{name}_sequence") for c, name in zip(metrics, ("cpu", "memory", "cost"), strict=True)),
     )
 
 
@@ -155,6 +149,33 @@ def hash_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed:
     return df.withColumn("split", F.when(bucket < 1.0 - test_size, "train").otherwise("test"))
 
 
+def shuffled_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """Places in a repeatable random order and a split with exact shares: the first floor((1 - test_size) n) rows train.
+
+    Only the keys, which must tell rows apart, are put in order; the rows receive ``shuffled_at`` and ``split``.
+    """
+    placed = with_position(df.select(*keys).withColumn("__h", hash_order(keys, seed)), [], ["__h", *keys], pos="shuffled_at", length="__n")
+    train = F.col("shuffled_at") < F.floor(F.col("__n") * F.lit(1.0 - test_size))
+    labels = placed.select(*keys, "shuffled_at", F.when(train, "train").otherwise("test").alias("split"))
+    return join_on_keys(df, labels, keys)
+
+
+def anomaly_training_set(
+    df: DataFrame,
+    window_size: int = 24,
+    contamination: float = 0.1,
+    test_size: float = 0.2,
+    keys: Sequence[str] = ("resource_id",),
+    time_col: str = "timestamp",
+    tie_cols: Sequence[str] = (),
+    label_col: str = "is_anomaly",
+    seed: int = 42,
+) -> DataFrame:
+    """Oversampled anomaly windows in shuffled order with a train/test label, ready to be written by ``split``."""
+    windows = anomaly_windows(df, window_size, keys, time_col, tie_cols, label_col)
+    return shuffled_split(oversample_anomalies(windows, keys, contamination, seed), [*keys, "label", "window", "replica"], test_size, seed)
+
+
 def chronological_split(
     df: DataFrame,
     test_size: float = 0.2,
@@ -215,7 +236,7 @@ def evenly_spaced_rows(df: DataFrame, m: int, order: Sequence[str], method: str
         hit = (F.col("__n") <= m) | F.expr(f"{k} * (__n - 1) div {m - 1} = __at")
         return placed.where(hit).drop("__at", "__n")
     if method == "random":
-        return df.orderBy(hash_order(order, seed), *order).limit(m)
+        return pick_by_hash(df, order, m, seed)
     if method == "kmeans":
         raise NotImplementedError("kmeans selection is not available: use evenly_spaced or random")
     raise ValueError(f"Unknown method '{method}': choose evenly_spaced, random or kmeans")
@@ -229,7 +250,7 @@ def sample_rows(
     A stratum of s out of N rows gives round(s n / N) of them.
     """
     if stratify_col is None:
-        return df.orderBy(hash_order(keys, seed), *keys).limit(n)
+        return pick_by_hash(df, keys, n, seed)
     hashed = df.withColumn("__h", hash_order(keys, seed))
     placed = with_position(hashed, [stratify_col], ["__h", *keys], pos="__at", length="__stratum")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainwise.plans.ordering import hash_order
+from grainwise.plans.ordering import pick_by_hash
 from grainwise.plans.scratch import join_on_keys
 
 log = logging.getLogger(__name__)
@@ -129,11 +129,11 @@ class GrainFrame:
     def sample(self, grain: Sequence[str], n: int = 1, seed: int = 42) -> GrainFrame:
         """Whole series of ``n`` entities picked uniformly, repeatable for a seed.
 
-        Asking for more entities than exist returns all of them. The pick is a bounded
-        top-n over hashed keys, so no full sort of the entities takes place.
+        Asking for more entities than exist returns all of them. The pick goes by hashed
+        keys, so no full sort of the entities takes place.
         """
         keys = self.resolve_grain(grain)
-        picked = self.entities(keys).orderBy(hash_order(keys, seed), *keys).limit(n)
+        picked = pick_by_hash(self.entities(keys), keys, n, seed)
         return self.with_df(join_on_keys(self.df, picked, keys, "left_semi"))
 
     # -- roll-ups ------------------------------------------------------------------

@@ -320,3 +320,37 @@ def hash_order(columns: Sequence[str], seed: int) -> Column:
     """Repeatable pseudo-random sort key of a row: md5 over its keys and the seed."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+
+
+#: Picks up to this many rows are a bounded top-n in one scan.
+TOP_ROWS = 10_000
+#: Hexadecimal digits by which each count of the hashes is finer than the one before.
+CELL_DIGITS = 4
+
+
+def pick_by_hash(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
+    """The ``n`` rows with the smallest ``hash_order``, ties in order of the keys; all rows if there are fewer.
+
+    A large pick sorts nothing but its border: counts of hash prefixes (65,536 at most at a time)
+    give the prefix in which the n-th row lies. Rows below it pass where they are, and only
+    rows with that prefix are ranked, over many tasks if they are many.
+    """
+    if n <= TOP_ROWS:
+        return df.orderBy(hash_order(keys, seed), *keys).limit(n)
+    hashed = df.withColumn("__h", hash_order(keys, seed))
+    prefix, left = "", n
+    for digits in (CELL_DIGITS, 2 * CELL_DIGITS):
+        cell = F.substring("__h", 1, digits)
+        counts = hashed.where(F.startswith("__h", F.lit(prefix))).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
+        if not prefix and sum(r.n for r in counts) <= n:
+            return df
+        for r in counts:
+            if left <= r.n:
+                break
+            left -= r.n
+        prefix = r.cell
+        if r.n <= TOP_ROWS:
+            break
+    own = F.substring("__h", 1, len(prefix))
+    border = with_position(hashed.where(own == prefix), [], ["__h", *keys], pos="__place").where(F.col("__place") < left)
+    return hashed.where(own < prefix).unionByName(border.drop("__place")).drop("__h")

@@ -92,11 +92,15 @@ def range_report(df: DataFrame, with_labels: bool = False) -> DataFrame:
     return counts.select(F.inline(F.array(*pairs)))
 
 
+def with_violations(df: DataFrame, with_labels: bool = False) -> DataFrame:
+    """All rows with the list of rules each one breaks, empty for valid rows."""
+    rules = {r: t for r, t in _rules(df).items() if with_labels or "class labels" not in r}
+    return df.withColumn("violations", F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items()))))
+
+
 def quarantine(df: DataFrame, with_labels: bool = False) -> DataFrame:
     """The violating rows with the list of rules each one breaks."""
-    rules = {r: t for r, t in _rules(df).items() if with_labels or "class labels" not in r}
-    broken = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
-    return df.withColumn("violations", broken).where(F.size("violations") > 0)
+    return with_violations(df, with_labels).where(F.size("violations") > 0)
 
 
 def validate(df: DataFrame) -> tuple[bool, list[str]]:

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from grainwise.operators.transforms import with_waste_flags
 from grainwise.plans.scratch import scratch_path
+from grainwise.sources.mldata import with_violations
 
 
 def event_time(stream: DataFrame, time_col: str) -> DataFrame:
@@ -78,3 +80,33 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/table")
+
+
+def quarantine_stream(stream: DataFrame, out: str, state: str, with_labels: bool = False) -> DataStreamWriter:
+    """Write a stream's rows to ``out``, the valid ones apart from those that break a rule, with the rules' names.
+
+    Each micro-batch is one scan into a folder of its own number, which a replay of the batch
+    overwrites: after a restart no row is there twice. Read the two sides by ``accepted`` and ``quarantined``.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        checked = with_violations(batch, with_labels)
+        marked = checked.withColumn("accepted", F.size("violations") == 0)
+        marked.write.mode("overwrite").partitionBy("accepted").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True)
+
+
+def _checked(spark: SparkSession, out: str, schema: T.StructType, accepted: bool) -> DataFrame:
+    fields = [*schema.fields, T.StructField("violations", T.ArrayType(T.StringType())), T.StructField("batch", T.LongType()), T.StructField("accepted", T.BooleanType())]
+    return spark.read.schema(T.StructType(fields)).parquet(out).where(F.col("accepted") == accepted)
+
+
+def accepted(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The valid rows of ``quarantine_stream`` with their batch."""
+    return _checked(spark, out, schema, True).drop("accepted", "violations")
+
+
+def quarantined(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The other rows, with the names of the rules that each breaks and their batch."""
+    return _checked(spark, out, schema, False).drop("accepted")

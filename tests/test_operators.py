@@ -495,3 +495,37 @@ def test_measured_join_broadcasts_only_small_sides(spark):
     spark.conf.unset("spark.grainwise.broadcastRows")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plans["500000"] and "BroadcastHashJoin" not in plans["3"]
+
+
+@pytest.mark.parametrize("length,stride,beyond", [(5, 1, 0), (7, 3, 1), (30, 4, 2), (64, 64, 0)])
+def test_windows_are_slices_across_blocks(spark, monkeypatch, either_path, length, stride, beyond):
+    monkeypatch.setattr(V, "WINDOW_BLOCK", 16)
+    data = [(k, i, None if i % 9 == 4 else float(i)) for k, n in (("a", 150), ("b", 33), (None, 64), ("c", 4)) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, t int, v double").repartition(4)
+    got = {(r.k, r["__at"]): [(x.t, x.v) for x in r["__window"]] for r in V._cut_windows(df, ["k"], ["t"], length, stride, beyond).collect()}
+    series = {}
+    for k, t, v in data:
+        series.setdefault(k, []).append((t, v))
+    assert got == {(k, s): own[s : s + length + beyond] for k, own in series.items() for s in range(0, len(own) - length - beyond + 1, stride)}
+
+
+def test_training_set_has_exact_shares(spark):
+    made = V.anomaly_training_set(hours(spark, 60), 5, 0.5).select("shuffled_at", "split", "resource_id", "label", "window", "replica").collect()
+    n = len(made)
+    assert sorted(r.shuffled_at for r in made) == list(range(n)) and {r.shuffled_at for r in made if r.split == "train"} == set(range(int(n * 0.8)))
+    assert len({(r.resource_id, r.label, r.window, r.replica) for r in made}) == n
+
+
+def test_backtest_with_seasons_by_hand(spark):
+    df = spark.createDataFrame([("a", i, float(i % 3) + i // 12) for i in range(24)] + [("b", i, float(i)) for i in range(7)], "k string, t int, v double")
+    got = {(r.cutoff, r.model): r for r in FC.backtest(df, ["k"], ["t"], "v", 6, [6, 12], window=2, periods=[3]).collect()}
+    assert got[12, "seasonal_naive_3"].mae == pytest.approx(1.0)
+    steps = [abs((i % 3 + i // 12) - ((i - 1) % 3 + (i - 1) // 12)) for i in range(1, 12)]
+    assert got[12, "seasonal_naive_3"].mase == pytest.approx(1.0 / (sum(steps) / len(steps)))
+    assert got[6, "seasonal_naive_3"].mae == pytest.approx(0.0) and got[6, "naive"].mae > 0
+
+
+def test_dependency_edges_equal_the_list(spark):
+    pairs = [("id", "city"), ("id", "land"), ("city", "land"), ("id", "code"), ("code", "id"), ("code", "city"), ("code", "land"), ("x", "y"), ("y", "x")]
+    table = spark.createDataFrame([(a, b, True) for a, b in pairs] + [("land", "id", False)], "determinant string, dependent string, holds boolean")
+    assert sorted(tuple(r) for r in G.dependency_edges(table).collect()) == G.minimal_dependencies(table)

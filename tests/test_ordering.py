@@ -179,3 +179,12 @@ def test_ranks_outside_their_brackets_are_found_by_merging(spark, long_groups, m
         assert sorted(map(str, O.exact_percentiles(df, ["k"], "w", {"m": 0.5}).collect())) == sorted(map(str, want))
     finally:
         spark.conf.unset("spark.grainwise.sketchRows")
+
+
+@pytest.mark.parametrize("n", [0, 5, 700, 1999, 2600, 9999])
+def test_large_picks_equal_small_ones(spark, monkeypatch, n):
+    df = spark.range(2000).selectExpr("id % 1500 as a", "if(id < 600, 7, id) as b").unionAll(spark.range(500).selectExpr("9 as a", "9 as b")).repartition(5)
+    want = rows(df.orderBy(O.hash_order(["a", "b"], 3), "a", "b").limit(n))
+    monkeypatch.setattr(O, "TOP_ROWS", 4)
+    monkeypatch.setattr(O, "CELL_DIGITS", 1)
+    assert rows(O.pick_by_hash(df, ["a", "b"], n, 3)) == want

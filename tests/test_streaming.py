@@ -49,3 +49,25 @@ def test_flags_need_no_state(spark, tmp_path):
     stream = R.read_stream(spark, str(tmp_path / "in"), "*.parquet", data.schema)
     out = R.run_available(R.stream_flags(stream), "test")
     assert rows(out.select("cpu_utilization", "is_idle", "is_valid")) == [(1.0, True, True), (150.0, False, False)]
+
+
+def test_replayed_batches_write_nothing_twice(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "id int, cpu_utilization double, memory_utilization double, hourly_cost double"
+    add = lambda data: spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(folder)
+    add([(1, 10.0, 10.0, 1.0), (2, 110.0, -1.0, 1.0)])
+    run = lambda: R.quarantine_stream(R.read_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema), out, state).start().awaitTermination()
+    run()
+    add([(3, None, 10.0, -2.0), (4, 5.0, 5.0, 5.0)])
+    run()
+    # the commit of the last batch is lost: the restart replays it
+    lost = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for file in (lost, lost.with_name(f".{lost.name}.crc")):
+        file.unlink(missing_ok=True)
+    run()
+    kinds = spark.read.parquet(folder).schema
+    assert rows(R.accepted(spark, out, kinds).select("id", "batch")) == [(1, 0), (4, 1)]
+    assert rows(R.quarantined(spark, out, kinds).select("id", "violations")) == [
+        (2, ["cpu_utilization out of valid range [0, 100]", "memory_utilization out of valid range [0, 100]"]),
+        (3, ["hourly_cost cannot be negative"]),
+    ]
