@@ -149,6 +149,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     return found.groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
 
 
+def alike(df: DataFrame, label: str) -> DataFrame:
+    """A written table to join with by a shuffle at every size, as all of them grow with the lines; adaptive execution splits hot keys."""
+    return written(df, label).hint("merge")
+
+
 def wide_repeated_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The same by the wide rule.
 
@@ -162,24 +167,23 @@ def wide_repeated_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     once = ["n", "leaf", *PARTS]
     different = lines.groupBy("whole").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.count("*").alias("lines"), *(F.first(c).alias(c) for c in once))
     different = written(different, "different")
-    # A shuffle join at every size; adaptive execution splits hot leaves, keys and templates.
     many = different.where(F.col("n") >= LEAST_TOKENS)
     keyed = many.select("whole", "first", F.explode(F.array(*(F.xxhash64(F.lit(g), "leaf", *own) for g, own in enumerate(THIRDS)))).alias("agreed"))
     agreed = keyed.groupBy("agreed").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("agreed")
-    near = keyed.join(written(agreed, "agreed"), "agreed", "left_semi").select("whole").distinct()
+    near = keyed.join(alike(agreed, "agreed"), "agreed", "left_semi").select("whole").distinct()
     few = different.where(F.col("n").between(LEAST_SHORT, LEAST_TOKENS - 1))
     leaves = few.groupBy("leaf").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.sum("lines").alias("leaf_lines")).where("low < high").select("leaf", "leaf_lines")
-    many = many.join(written(near, "near"), "whole", "left_semi").withColumn("leaf_lines", F.lit(None).cast("long"))
-    open_lines = written(many.unionByName(few.join(written(leaves, "leaves"), "leaf")), "open")
+    many = many.join(alike(near, "near"), "whole", "left_semi").withColumn("leaf_lines", F.lit(None).cast("long"))
+    open_lines = written(many.unionByName(few.join(alike(leaves, "leaves"), "leaf")), "open")
     by_size = F.when(F.col("n") >= LEAST_TOKENS, opened(None))
     for size in range(LEAST_SHORT, LEAST_TOKENS):
         by_size = by_size.when(F.col("n") == size, opened(size))
     rows = open_lines.select("whole", "first", "lines", "leaf_lines", (F.col("n") < LEAST_TOKENS).alias("short"), F.explode(by_size).alias("template"))
     counted = rows.groupBy("template").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.sum("lines").alias("lines"), F.first("leaf_lines").alias("leaf_lines"), F.first("short").alias("short"))
     ruling = counted.where("low < high").where(~F.col("short") | ((F.col("lines") >= SHORT_LINES) & (F.col("lines") >= SHORT_SHARE * F.col("leaf_lines"))))
-    earlier = rows.select("whole", "first", "template").join(written(ruling.select("template", "low"), "templates"), "template").where("low < first").groupBy("whole").agg(F.min("low").alias("low"))
-    since = different.select("whole", "first", "last").join(written(earlier, "earlier"), "whole", "left").select("whole", "last", F.coalesce("low", "first").alias("since")).where("since < last")
-    found = lines.select("__doc", "__same", "line_no", "whole").join(written(since.select("whole", "since"), "since"), "whole").where("__doc > since")
+    earlier = rows.select("whole", "first", "template").join(alike(ruling.select("template", "low"), "templates"), "template").where("low < first").groupBy("whole").agg(F.min("low").alias("low"))
+    since = different.select("whole", "first", "last").join(alike(earlier, "earlier"), "whole", "left").select("whole", "last", F.coalesce("low", "first").alias("since")).where("since < last")
+    found = lines.select("__doc", "__same", "line_no", "whole").join(alike(since.select("whole", "since"), "since"), "whole").where("__doc > since")
     return found.groupBy("__doc", "__same").agg(F.array_sort(F.collect_set("line_no")).alias("__lines"))
 
 
