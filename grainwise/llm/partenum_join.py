@@ -7,12 +7,16 @@ the difference by k. In a band the domain of the n-grams is cut into
 ``(k + 2) // 2`` parts and a few more and each part into ``splits`` cells: in some part the
 two sets differ in one element at most, so they agree in all cells of that part but one. The
 signatures of a set are therefore, for each part, all subsets of its cells that leave one
-out. Signatures over cells without elements say nothing. They are skipped if the parts they
-occur in are fewer than those in which the set must agree with any partner of its size; by
-the parts added and by the set's own size that is nearly always so.
-
-Sharing a signature only makes a candidate. Each signature's sets are first compared with
-the smallest of them (a star, linear in the group); the components found so far then leave
+out. A set needs not all parts: with a partner of its own size range it differs in fewer
+elements than the band allows, so of the first parts, taken until more of them have no empty
+cell than can hold two differences, one agrees. The set that stops first vouches for that, and
+its signature is over a cell with elements, so signatures over empty cells are left out; only
+a set with too few such parts has all its signatures.
+
+Sharing a signature only makes a candidate. Signatures move once, in ranges, so that a common
+one is dealt to many tasks, and each task compares neighbours in order. Each signature's sets
+are first compared with the smallest of them in the task and the tasks' border rows with each
+other (stars, linear in the group); the components found so far then leave
 few pairs of different components under one signature, which are compared as well. An odd
 sketch of the set (parities of hashed elements) bounds the difference from below, so pairs
 that it rules out are never read; all others are counted exactly. Documents with equal sets
@@ -31,13 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
-from grainwise.llm.tables import small, unused, written
+from grainwise.llm.tables import discard, small, unused, written
 
 #: One part is added for so many, one at least.
 PARTS_FOR_ONE_MORE = 16
 #: Bands grow by this power of 1 / t: a compromise of few bands per set and a small bound k.
 STRETCH = 3
 SKETCH_WORDS = 16
+#: Sets whose signatures a task knows to have given.
+REMEMBERED = 200_000
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,7 +79,6 @@ class Bands:
             parts = least + max(1, least // PARTS_FOR_ONE_MORE)
             size = len(elements)
             differ = (self.den - self.num) * (size + min(size * self.den // self.num, self.last[band])) // (self.den + self.num)
-            agree = parts - differ // 2  # parts that differ in one element at most
             cells = parts * self.splits
             if cells not in self.edges:
                 self.edges[cells] = np.arange(1, cells, dtype=np.uint64) * np.uint64(2**64 // cells)
@@ -83,7 +88,12 @@ class Bands:
             left_out = np.arange(cells, dtype=np.uint64).reshape(parts, self.splits) + np.uint64(band << 40)
             subsets = tokens.mix(cell.sum(axis=1, dtype=np.uint64)[:, None] - cell + tokens.mix(left_out * _UNIT))
             empty = filled.sum(axis=1)[:, None] == filled
-            out.append(subsets[~empty] if empty.any(axis=1).sum() < agree else subsets.ravel())
+            full = np.flatnonzero(~empty.any(axis=1))
+            if len(full) > differ // 2:  # one of them differs in one element at most
+                stop = full[differ // 2] + 1
+                out.append(subsets[:stop][~empty[:stop]])
+            else:
+                out.append(subsets.ravel())
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -99,14 +109,23 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 
 def described(docs: DataFrame, width: int, num: int, den: int, splits: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch, signatures) of each row; an empty set has no key."""
+    """(doc_id, n_shingles, set_key, sketch, signatures) of each row; an empty set has no key.
+
+    A task gives a set's signatures once and its further copies none; should it have forgotten
+    a set among REMEMBERED others, it gives them again.
+    """
 
     def run(batches):
-        bands = Bands(num, den, splits)
+        bands, known = Bands(num, den, splits), set()
         for piece, sets, values, keys in _sets(batches, width):
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             odd = [np.packbits(np.bincount((v & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1).view(np.uint64) for v in values]
-            signed = [bands.signatures(s, v) if len(s) else s for s, v in zip(sets, values, strict=True)]
+            signed = []
+            for s, v, k in zip(sets, values, keys.tolist(), strict=True):
+                signed.append(np.zeros(0, np.uint64) if k in known or not len(s) else bands.signatures(s, v))
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known.add(k)
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(sizes), pa.array(keys, mask=sizes == 0), tokens.lists(odd, pa.int64()), tokens.lists(signed, pa.int64())], names=["doc_id", "n_shingles", "set_key", "sketch", "signatures"]
             )
@@ -124,6 +143,50 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "set_key long, elements array<long>")
 
 
+def neighbours(signed: DataFrame) -> DataFrame:
+    """(signature, set_key, centre, edge) of the rows (signature, set_key) that may share a signature.
+
+    Rows are dealt in ranges of (signature, set_key), so that a signature of very many sets is
+    split, and put in order. A row whose signature another set of the same task has is given
+    with the least set of the two or more, ``centre``. Each task's first and last row are
+    given as ``edge`` without a centre: only those may share with rows of other tasks.
+    """
+    names = ["signature", "set_key", "centre", "edge"]
+
+    def part(signature, key, centre, edge):
+        flags = np.full(len(signature), edge)
+        return pa.RecordBatch.from_arrays([pa.array(signature), pa.array(key), pa.array(centre), pa.array(flags)], names=names)
+
+    def run(batches):
+        # the last row and the least set of its signature wait for the row after them
+        rest, begun = np.zeros((3, 0), np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, k = (batch.column(i).to_numpy() for i in (0, 1))
+            if not begun:
+                yield part(s[:1], k[:1], k[:1], True)
+                begun = True
+            s, k = np.append(rest[0], s), np.append(rest[1], k)
+            new = np.append(True, (s[1:] != s[:-1]) | (k[1:] != k[:-1]))
+            s, k = s[new], k[new]
+            first = np.append(True, s[1:] != s[:-1])
+            centre = k[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
+            if rest.size:
+                centre[: int(np.append(np.flatnonzero(first[1:]) + 1, len(s))[0])] = rest[2, 0]
+            follows = np.append(s[1:] == s[:-1], False)
+            given = ((k != centre) | follows)[:-1]
+            yield part(s[:-1][given], k[:-1][given], centre[:-1][given], False)
+            rest = np.array([s[-1:], k[-1:], centre[-1:]])
+        if rest.size:
+            yield part(*rest, True)
+            if rest[1, 0] != rest[2, 0]:
+                yield part(*rest, False)
+
+    dealt = signed.repartitionByRange("signature", "set_key").sortWithinPartitions("signature", "set_key")
+    return dealt.mapInArrow(run, "signature long, set_key long, centre long, edge boolean")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root): the smallest node of each connected component, for all nodes of the edges (a, b).
 
@@ -167,29 +230,36 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     with a NULL key keeps its size and has no component.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(described(docs, width, num, den, splits), "sets")
+    sets = written(described(docs, width, num, den, splits), "sets")
+    rows = written(sets.drop("signatures"), "rows")
     known = rows.where("doc_id is not null and set_key is not null")
-    signed = known.select("set_key", F.explode("signatures").alias("signature"))
-    shared = signed.groupBy("signature").agg(F.min("set_key").alias("centre"), F.max("set_key").alias("other")).where("centre < other").select("signature", "centre")
-    members = written(signed.join(written(shared, "shared"), "signature").distinct(), "members")
+    shared = written(neighbours(sets.where("doc_id is not null").select(F.explode("signatures").alias("signature"), "set_key")), "shared")
+    discard(sets)
+    border = shared.where("edge").select("signature", "set_key")
+    spans = border.groupBy("signature").agg(F.min("set_key").alias("centre"), F.max("set_key").alias("other")).where("centre < other").select("signature", "centre")
+    border = written(border.join(spans, "signature"), "border")
+    inner = shared.where("not edge").select("signature", "set_key", "centre")
+    members = inner.union(border.select("signature", "set_key", "centre"))
 
     facts = known.join(small(written(members.select("set_key").distinct(), "candidates")), "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     facts = written(facts, "facts")
-    wanted = facts.select("set_key", "doc_id")
-    found = sets_of(docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi"), width)
-    elements = written(found.join(small(wanted.select("set_key")), "set_key", "left_semi").dropDuplicates(["set_key"]), "elements")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose elements prove the link."""
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """Pairs (a, b) whose elements prove the link; only the texts of sets in pairs are read again."""
+        pairs = written(pairs, label)
+        wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+        wanted = written(facts.join(wanted, "set_key", "left_semi").select("set_key", "doc_id"), "wanted")
+        found = sets_of(docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi"), width)
+        elements = written(found.join(small(wanted.select("set_key")), "set_key", "left_semi").dropDuplicates(["set_key"]), "elements")
         one, two = (elements.select(F.col("set_key").alias(x), F.col("elements").alias(f"e{x}")) for x in ("a", "b"))
-        common = F.size(F.array_intersect("ea", "eb"))
-        joined = pairs.join(one, "a").join(two, "b").withColumn("common", common)
-        return joined.where(F.col("common") * den >= (F.size("ea") + F.size("eb") - F.col("common")) * num).select("a", "b")
+        joined = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("ea", "eb")))
+        links = written(joined.where(F.col("common") * den >= (F.size("ea") + F.size("eb") - F.col("common")) * num).select("a", "b"), "links")
+        discard(elements)
+        return links
 
     stars = members.where("set_key <> centre").select(F.col("centre").alias("a"), F.col("set_key").alias("b")).distinct()
     near = stars.join(facts.alias("x"), F.col("a") == F.col("x.set_key")).join(facts.alias("y"), F.col("b") == F.col("y.set_key")).where(_may_link("x", "y", num, den)).select("a", "b")
-    links = written(verified(near), "links")
-    labels = written(components(links, "first"), "labels")
+    labels = written(components(verified(near, "near"), "first"), "labels")
 
     # Signatures that still hold several components: their pairs across components.
     placed = members.select("signature", "set_key").join(small(labels), F.col("set_key") == F.col("node"), "left").select("signature", "set_key", F.coalesce("root", "set_key").alias("label"))
@@ -200,7 +270,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     left, right = open_sets.alias("x"), open_sets.alias("y")
     across = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.set_key") < F.col("y.set_key")) & (F.col("x.label") != F.col("y.label"))
     more = left.join(right, across & _may_link("x", "y", num, den)).select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
-    joined = reduce(DataFrame.union, [labels.select(F.col("node").alias("a"), F.col("root").alias("b")), written(verified(more), "more-links")])
+    joined = reduce(DataFrame.union, [labels.select(F.col("node").alias("a"), F.col("root").alias("b")), verified(more, "more")])
     labels = written(components(joined, "last"), "classes")
 
     own = rows.select("doc_id", "n_shingles", "set_key").join(small(labels), F.col("set_key") == F.col("node"), "left")

@@ -12,13 +12,30 @@ from grainwise.plans.scratch import scratch_path
 
 #: Rows of a few narrow columns that may be broadcast; a larger side takes a shuffle join.
 BROADCAST_ROWS = 200_000
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a parquet table in the shared folder: read again, never computed again."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a parquet table in the shared folder: read again, never computed again.
+
+    As nothing else uses the shuffles of this write, their files go as soon as it is done.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table made by ``written`` once all that was read from it is written too."""
+    for file in table.inputFiles()[:1]:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

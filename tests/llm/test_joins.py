@@ -104,6 +104,36 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert partenum_join.one_of_each(none).count() == 0
 
 
+def test_neighbours_find_every_shared_signature(spark):
+    """Also where a signature of very many sets lies in several tasks, and of repeated rows."""
+    rng = random.Random(3)
+    rows = [(5, k) for k in range(3000)] + [(rng.randrange(-900, 900), rng.randrange(10**6)) for _ in range(900)]
+    rows += rows[:40] + [(7000, 1)] * 50 + [(-9000, 2), (9000, 3)]
+    want = defaultdict(set)
+    for s, k in rows:
+        want[s].add(k)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = partenum_join.neighbours(spark.createDataFrame(rows, "signature long, set_key long").repartition(7)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found, groups = defaultdict(set), defaultdict(set)
+    for r in got:
+        found[r.signature].add(r.set_key)
+        if not r.edge:
+            assert r.centre in want[r.signature] and r.centre <= r.set_key
+            groups[r.signature].add(r.centre)
+    borders = {(r.signature, r.set_key) for r in got if r.edge}
+    for s, keys in want.items():
+        if len(keys) > 1:
+            assert found[s] == keys
+            # every task's star is tied to the others by a border row
+            assert len(groups[s]) <= 1 or len([1 for b in borders if b[0] == s]) >= len(groups[s])
+        else:
+            assert all((s, k) in borders for k in found[s])
+    assert len(groups[5]) > 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 299)]
     got = {r.node: r.root for r in partenum_join.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
