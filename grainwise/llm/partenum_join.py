@@ -41,6 +41,7 @@ from grainwise.llm.tables import discard, small, unused, written
 PARTS_FOR_ONE_MORE = 16
 #: Bands grow by this power of 1 / t: a compromise of few bands per set and a small bound k.
 STRETCH = 3
+#: Least 64-bit words of a sketch; large sets have more, as a full sketch would bound nothing.
 SKETCH_WORDS = 16
 #: Sets whose signatures a task knows to have given.
 REMEMBERED = 200_000
@@ -108,6 +109,13 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
         yield piece, sets, values, tokens.signed(keys)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of the values' low bits: a bit for each element at least, a power of two in all."""
+    bits = max(64 * SKETCH_WORDS, 1 << len(values).bit_length())
+    odd = (np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
 def described(docs: DataFrame, width: int, num: int, den: int, splits: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch, signatures) of each row; an empty set has no key.
 
@@ -119,7 +127,7 @@ def described(docs: DataFrame, width: int, num: int, den: int, splits: int) -> D
         bands, known = Bands(num, den, splits), set()
         for piece, sets, values, keys in _sets(batches, width):
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            odd = [np.packbits(np.bincount((v & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1).view(np.uint64) for v in values]
+            odd = [sketch(v) for v in values]
             signed = []
             for s, v, k in zip(sets, values, keys.tolist(), strict=True):
                 signed.append(np.zeros(0, np.uint64) if k in known or not len(s) else bands.signatures(s, v))
@@ -213,9 +221,19 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
-    """What sizes and odd sketches of two sets allow."""
+    """What sizes and odd sketches of two sets allow.
+
+    Sets of similar size have sketches of equal length, or one is twice the other and its
+    halves are added first: the lower bits of an element stay the same.
+    """
     size_a, size_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    odd = F.aggregate(F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    one, two = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+
+    def level(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) <= F.size(other), x).otherwise(F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
+
+    odd = F.aggregate(F.zip_with(level(one, two), level(two, one), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = (F.least(size_a, size_b) * den >= F.greatest(size_a, size_b) * num) & (odd * (den + num) <= (size_a + size_b) * (den - num))
     return near
 

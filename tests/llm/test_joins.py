@@ -134,6 +134,23 @@ def test_neighbours_find_every_shared_signature(spark):
     assert len(groups[5]) > 1
 
 
+def test_sketches_bound_the_difference_of_large_sets(spark):
+    """Linked sets are never ruled out, also where one sketch is twice the other; unlike large sets are."""
+    rng = np.random.RandomState(5)
+    rows, linked = [], []
+    for i, (size, more, less) in enumerate([(1000, 60, 60), (1010, 80, 3), (4000, 200, 200), (4090, 300, 10), (9000, 800, 0), (5000, 5000, 4000), (1500, 1500, 1400)]):
+        base = rng.randint(0, 2**63, size).astype(np.uint64)
+        other = np.append(base[less:], rng.randint(0, 2**63, more).astype(np.uint64))
+        linked.append(10 * (size - less) >= 8 * (size + more))
+        for name, v in (("x", base), ("y", other)):
+            rows.append((i, name, len(v), partenum_join.sketch(v).view(np.int64).tolist()))
+    df = spark.createDataFrame(rows, "i int, name string, n long, sketch array<long>")
+    x, y = df.where("name = 'x'").alias("x"), df.where("name = 'y'").alias("y")
+    for one, two in (("x", "y"), ("y", "x")):
+        got = x.join(y, F.col("x.i") == F.col("y.i")).select(F.col("x.i").alias("i"), partenum_join._may_link(one, two, 80, 100).alias("may")).collect()
+        assert [r.may for r in sorted(got)] == linked
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 299)]
     got = {r.node: r.root for r in partenum_join.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
