@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
 from grainwise.llm.fitting import adagrad, sparse
-from grainwise.llm.tables import sampled, written
+from grainwise.llm.tables import in_sample, written
 
 BUCKETS = 1 << 15
 #: Most labelled documents of one language that the models are fitted on.
 SAMPLE_PER_LANGUAGE = 1500
+#: Tasks of a fitting step; the sample is bounded, so they are.
+SAMPLE_TASKS = 12
 STEPS, RATE, SCALE = 25, 0.5, 30.0
 UNKNOWN = "und"
 # Families of languages by ISO 639-1 code; any other code is a family of its own.
@@ -97,11 +100,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     layout = Layout(tuple(sorted(sizes)))
     if not sizes:
         return layout, np.zeros((0, BUCKETS))
-    chosen = [sampled(labelled.where(F.col("lang") == x), "key", SAMPLE_PER_LANGUAGE, n) for x, n in sizes.items()]
-    rows = chosen[0]
-    for more in chosen[1:]:
-        rows = rows.union(more)
-    rows = written(features(rows.select("text", "lang")).coalesce(12), "trigrams")
+    # one scan draws the samples of all languages; only they are dealt to a few tasks
+    chosen = reduce(Column.__or__, [(F.col("lang") == x) & in_sample("key", SAMPLE_PER_LANGUAGE, n) for x, n in sizes.items()])
+    rows = written(features(labelled.where(chosen).select("text", "lang")).repartition(SAMPLE_TASKS), "trigrams")
     names, families, pairs = layout.languages, layout.families, layout.pairs
     home = np.array([families.index(family_of(x)) for x in names])
     side = np.array([[1 if x == a else -1 if x == b else 0 for x in names] for a, b in pairs]).reshape(len(pairs), len(names))

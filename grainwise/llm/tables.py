@@ -56,16 +56,19 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % parts
 
 
-def sampled(df: DataFrame, key: str, most: int, rows: int | None = None) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of the key: the same rows on every run.
+def in_sample(key: str, most: int, rows: int) -> Column:
+    """True for about ``most`` of ``rows`` rows at most, chosen by a hash of the key: the same rows on every run.
 
     Used only to fit a model on labelled rows; ``most`` is the documented bound.
     """
-    rows = df.count() if rows is None else rows
     if rows <= most:
-        return df
-    share = int(most / rows * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < share)
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < int(most / rows * (1 << 30))
+
+
+def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows that ``in_sample`` chooses among all of ``df``."""
+    return df.where(in_sample(key, most, df.count()))
 
 
 def share(spark: SparkSession, model) -> Broadcast:
