@@ -74,16 +74,36 @@ def license_digests_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digests.scan(table(spark, sf_dir, "documents"), license_digests.known_licenses(spark), telling=license_digests.TELLING)
 
 
-def _plain_sql(html: str) -> str:
+_TABLE_SQL = "MAP {" + ", ".join(f"{_literal(k)}: {_literal(c)}" for k, c in warc_derivatives.REFERENCES.items()) + "}"
+
+
+def _decoded_sql(text: str, bare: bool = True) -> str:
+    """``text`` cut at ampersands; each part is a structure of its own steps in nested comprehensions."""
+    old = f"regexp_extract(x, {_literal(warc_derivatives.BARE_REFERENCE)}, 1)" if bare else "''"
+    parts = f"[{{'x': x, 'ref': regexp_extract(x, {_literal(warc_derivatives.REFERENCE)}, 1), 'old': {old}}} FOR x IN string_split({text}, '&')[2:]]"
+    code = "CASE WHEN lower(p.ref[1:2]) = '#x' THEN ('0x' || p.ref[3:])::BIGINT WHEN p.ref[1] = '#' THEN p.ref[2:]::BIGINT END"
+    parts = f"[{{'x': p.x, 'ref': p.ref, 'old': CASE WHEN p.ref[1] = '#' THEN '' ELSE p.old END, 'code': {code}}} FOR p IN {parts}]"
+    own = "CASE WHEN q.code > 1114111 OR q.code BETWEEN 55296 AND 57343 THEN chr(65533) WHEN q.code > 0 THEN chr(q.code::INTEGER) END"
+    found = f"coalesce({_TABLE_SQL}[CASE WHEN q.code IS NULL THEN q.ref ELSE '#' || q.code END], {own})"
+    shown = f"coalesce({found} || substr(q.x, length(q.ref) + 2), {_TABLE_SQL}[q.old] || substr(q.x, length(q.old) + 1), '&' || q.x)"
+    return f"(string_split({text}, '&')[1] || array_to_string([{shown} FOR q IN {parts}], ''))"
+
+
+def _stripped_sql(html: str) -> str:
     for pattern in warc_derivatives.HIDDEN:
         html = f"regexp_replace({html}, {_literal(pattern)}, ' ', 'g')"
-    html = f"regexp_replace(regexp_replace({html}, {_literal(warc_derivatives.BLOCK_TAG)}, chr(10), 'g'), '<[^>]*>', '', 'g')"
-    for a, b in warc_derivatives.ENTITIES:
-        html = f"replace({html}, {_literal(a)}, {_literal(b)})"
-    html = rf"regexp_replace(regexp_replace({html}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({html}, {_literal(warc_derivatives.BLOCK_TAG)}, chr(10), 'g'), {_literal(warc_derivatives.TAG)}, '', 'g')"
+
+
+def _plain_sql(stripped: str) -> str:
+    html = rf"regexp_replace(regexp_replace({_decoded_sql(stripped)}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
     return rf"regexp_replace({html}, '^[ \n]+|[ \n]+$', '', 'g')"
 
 
+def _line_sql(text: str, bare: bool = True) -> str:
+    return rf"trim(regexp_replace({_decoded_sql(text, bare)}, '[ \t\r\n]+', ' ', 'g'))"
+
+
 def _uuid_sql(*parts: str) -> str:
     h = f"sha256({' || chr(10) || '.join(parts)})"
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
@@ -94,13 +114,14 @@ WARC_SQL = rf"""
 WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
 s AS (SELECT *, {_uuid_sql("'response'", "page_id::VARCHAR", "target_uri", "payload")} AS refers_to, 'sha256:' || sha256(payload) AS source_digest,
   'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(payload)::VARCHAR || {_CRLF} AS source_headers,
-  trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '[ \t\r\n]+', ' ', 'g')) AS title,
+  regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1) AS raw_title, {_stripped_sql("payload")} AS stripped,
   regexp_extract(payload, '(?i)<html[^>]* lang="([^"]*)"', 1) AS lang,
   regexp_extract_all(payload, '(?i)<a [^>]*href="([^"]*)"', 1) AS links FROM r),
+t AS (SELECT *, {_line_sql("raw_title")} AS title FROM s),
 b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
   CASE WHEN title <> '' THEN 'title: ' || title || {_CRLF} ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || {_CRLF} ELSE '' END
-  || coalesce(array_to_string([('outlink: ' || x || {_CRLF}) FOR x IN links], ''), '') AS block FROM s
-  UNION ALL SELECT *, 'conversion', 'text/plain', {_plain_sql("payload")} FROM s)
+  || coalesce(array_to_string([('outlink: ' || {_line_sql("y", bare=False)} || {_CRLF}) FOR y IN links], ''), '') AS block FROM t
+  UNION ALL SELECT *, 'conversion', 'text/plain', {_plain_sql("stripped")} FROM t)
 SELECT page_id, {_uuid_sql("record_type", "refers_to")} AS record_id, record_type, refers_to, target_uri, '{FETCHED}' AS date, content_type, source_headers, source_digest,
   'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length, block FROM b
 """

@@ -8,8 +8,9 @@ expressions over one scan, so nothing is shuffled.
 
 from __future__ import annotations
 
-import html as markup
+import json
 from functools import reduce
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,18 @@ from pyspark.sql import functions as F
 #: Elements whose content is no text, and comments.
 HIDDEN = (r"(?s)<!--.*?-->", *(rf"(?is)<{tag}[ >].*?</{tag} *>" for tag in ("script", "style", "noscript", "template")))
 BLOCK_TAG = r"(?i)</?(p|div|br|hr|li|ul|ol|tr|td|th|table|h[1-6]|nav|header|footer|article|section|aside|main|title|head|body|html|blockquote|pre|form|option|dd|dt|dl)\b[^>]*>"
-# The five predefined entities and the no-break space, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: A tag begins with a letter, a slash or a mark; any other ``<`` is text.
+TAG = r"<[A-Za-z/!?][^>]*>"
+#: The named character references of HTML that end in a semicolon, frequent ones first.
+NAMED = {name: html5[f"{name};"] for name in dict.fromkeys(("amp", "lt", "gt", "quot", "apos", *name2codepoint, *(k[:-1] for k in html5 if k.endswith(";"))))}
+#: Those that HTML reads without a semicolon too, longer ones first.
+BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+#: Numeric references that do not mean their code point: 128 to 159 are those of Windows-1252.
+NUMBERED = {"#0": "\ufffd", **{f"#{n}": c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}}
+# Names first: a look-up goes through the table in order.
+REFERENCES = {k: " " if c == "\xa0" else c for k, c in {**NAMED, **NUMBERED, "#160": " "}.items()}
+REFERENCE = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+BARE_REFERENCE = f"^({'|'.join(BARE)})"
 CRLF = "\r\n"
 #: Value of an attribute in double, single or no quotes.
 VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))"
@@ -26,17 +37,41 @@ LANGUAGE = rf"(?i)<html(?=\s)[^>]*?\slang{VALUE}"
 LINK = rf"(?i)<a(?=\s)[^>]*?\shref{VALUE}"
 
 
-def decoded(text: Column) -> Column:
-    """The text with every character reference of HTML as its character, no-break spaces as spaces."""
-    unescape = F.udf(lambda x: None if x is None else markup.unescape(x).replace("\xa0", " "), "string")
-    return F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
+def decoded(text: Column, bare: bool = True) -> Column:
+    """The text with every character reference as its character, no-break spaces as spaces.
+
+    Named references of HTML and numeric ones, which end in a semicolon; with ``bare`` also
+    the old names that HTML reads without one, as it does in text but not in addresses.
+    Zero, surrogates and numbers beyond Unicode give U+FFFD, unknown names stay. A result is
+    not decoded again.
+    """
+    table = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")  # folded to a constant
+    look_up = lambda key: F.try_element_at(table, key)
+    named = lambda x: F.struct(x.alias("x"), F.regexp_extract(x, REFERENCE, 1).alias("ref"))
+
+    def numbered(p: Column) -> Column:
+        number = F.when(F.lower(F.substring(p["ref"], 1, 2)) == "#x", F.conv(F.substring(p["ref"], 3, 99), 16, 10)).when(F.substring(p["ref"], 1, 1) == "#", F.substring(p["ref"], 2, 99))
+        old = F.regexp_extract(p["x"], BARE_REFERENCE, 1) if bare else F.lit("")
+        return F.struct(p["x"].alias("x"), p["ref"].alias("ref"), number.cast("bigint").alias("number"), F.when(number.isNull(), old).otherwise("").alias("old"))
+
+    def resolved(p: Column) -> Column:
+        code = p["number"]
+        own = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        found = F.coalesce(look_up(F.when(code.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(p["ref"])), own)
+        return F.struct(p["x"].alias("x"), found.alias("c"), (F.length(p["ref"]) + 2).alias("behind"), look_up(p["old"]).alias("old"), (F.length(p["old"]) + 1).alias("behind_old"))
+
+    def shown(p: Column, i: Column) -> Column:
+        rest = lambda at: F.substr(p["x"], at)
+        return F.when(i == 0, p["x"]).when(p["c"].isNotNull(), F.concat(p["c"], rest(p["behind"]))).when(p["old"].isNotNull(), F.concat(p["old"], rest(p["behind_old"]))).otherwise(F.concat(F.lit("&"), p["x"]))
+
+    parts = F.transform(F.transform(F.transform(F.split(text, "&"), named), numbered), resolved)
+    return F.array_join(F.transform(parts, shown), "")
 
 
-def plain_text(html: Column, decode: bool = False) -> Column:
-    """Visible text: a line per block element, runs of blanks as one, no empty lines."""
+def plain_text(html: Column) -> Column:
+    """Visible text: a line per block element, references decoded, runs of blanks as one, no empty lines."""
     shown = reduce(lambda x, pattern: F.regexp_replace(x, pattern, " "), HIDDEN, html)
-    shown = F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), r"<[^>]*>", "")
-    shown = decoded(shown) if decode else reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, shown)
+    shown = decoded(F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), TAG, ""))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(shown, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -58,29 +93,26 @@ def responses(pages: DataFrame, date: str, key: str = "page_id", url: str = "url
     )
 
 
-def derive(source: DataFrame, key: str = "page_id", decode: bool = False) -> DataFrame:
+def derive(source: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records per response, in the columns of a WARC header, and the block.
 
     Repeated responses give repeated records. Pages without title, language or links leave
     those fields out; a page without text gives an empty conversion block. Other columns of
-    the source are not carried. With ``decode`` all character references are decoded, in the
-    title and the links too; else ENTITIES in the text only, as the query's SQL has it.
+    the source are not carried. Character references are decoded in text, title and links;
+    line breaks in a title or link become spaces, as they would begin a field.
     """
     payload = F.col("payload")
-    whole = decoded if decode else (lambda x: x)
-    line = lambda x: F.trim(F.regexp_replace(whole(x), r"[ \t\r\n]+", " "))
+    line = lambda x, bare=True: F.trim(F.regexp_replace(decoded(x, bare), r"[ \t\r\n]+", " "))
     title = line(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1))
     language = F.concat(*(F.regexp_extract(payload, LANGUAGE, g) for g in (1, 2, 3)))
     # Of the three groups of a link one is set.
     groups = F.arrays_zip(*(F.regexp_extract_all(payload, F.lit(LINK), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)))
-    links = F.transform(groups, lambda x: F.concat(x["g1"], x["g2"], x["g3"]))
-    if decode:  # an encoded line break would begin a field
-        links = F.udf(lambda x: [" ".join(markup.unescape(y).split()) for y in x or []], "array<string>")(links)
+    links = F.transform(groups, lambda x: line(F.concat(x["g1"], x["g2"], x["g3"]), bare=False))
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise("")
     outlinks = F.when(F.size(links) > 0, F.concat(F.lit("outlink: "), F.array_join(links, f"{CRLF}outlink: "), F.lit(CRLF))).otherwise("")
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.concat(field("title", title), field("language", language), outlinks).alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(payload, decode).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(payload).alias("block")),
     )
     rows = source.select(key, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.explode(made).alias("r"))
     return rows.select(key, record_id(F.col("r.record_type"), F.col("refers_to")).alias("record_id"), "r.record_type", "refers_to", "target_uri", "date", "r.content_type", "source_headers", "source_digest", F.concat(F.lit("sha256:"), F.sha2(F.col("r.block"), 256)).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block")

@@ -149,7 +149,7 @@ def test_warc_records(spark, tmp_path):
     assert len(got) == 2 * len(rows) and all(r.refers_to == ids[r.page_id] for r in got)
     text = {(r.page_id, r.record_type): r.block for r in got}
     assert text[1, "conversion"] == "A & B\nOne <two>\nthree four\nfive\nlinky"
-    assert text[1, "metadata"] == "title: A &amp; B\r\nlanguage: en\r\noutlink: /x\r\noutlink: http://y/\r\n"
+    assert text[1, "metadata"] == "title: A & B\r\nlanguage: en\r\noutlink: /x\r\noutlink: http://y/\r\n"
     assert text[2, "conversion"] == text[3, "conversion"] == text[2, "metadata"] == ""
     warc_derivatives.write_warc(records, str(tmp_path / "w"))
     data = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "w").glob("*.gz"))
@@ -168,12 +168,27 @@ def test_warc_records(spark, tmp_path):
 def test_warc_records_decode_all_references_and_read_all_quotes(spark):
     page = """<html class=a lang='de'><head><title>Caf&eacute; &amp; &#x201C;B&#8221;&#10;x</title></head><body><p>&copy; 2020 &middot; a&nbsp;b &hellip; &amp;lt;</p><a data-href="no" href='/one?a=1&amp;b=2'>1</a><a class=c href=/two>2</a><a href="/it's">3</a><a href="">4</a></body></html>"""
     source = warc_derivatives.responses(spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string"), "x")
-    got = {(r.page_id, r.record_type): r.block for r in warc_derivatives.derive(source, decode=True).collect()}
+    got = {(r.page_id, r.record_type): r.block for r in warc_derivatives.derive(source).collect()}
     assert got[1, "conversion"] == "Caf\u00e9 & \u201cB\u201d\nx\n\u00a9 2020 \u00b7 a b \u2026 &lt;\n1234"
     assert got[1, "metadata"] == "title: Caf\u00e9 & \u201cB\u201d x\r\nlanguage: de\r\noutlink: /one?a=1&b=2\r\noutlink: /two\r\noutlink: /it's\r\noutlink: \r\n"
     assert got[2, "conversion"] == got[2, "metadata"] == ""
-    plain = {(r.page_id, r.record_type): r.block for r in warc_derivatives.derive(source).collect()}
-    assert "outlink: /two\r\noutlink: /it's\r\n" in plain[1, "metadata"] and "language: de\r\n" in plain[1, "metadata"]
+
+
+def test_warc_references_and_bare_signs(spark):
+    want = {
+        "x < y and 3 > 2": "x < y and 3 > 2",
+        "a <b>c</b> <!doctype x>d<?php e?>f </p>g": "a c df\ng",
+        "&lt;b&gt; &amp;amp; &AMP; &notanentity; & &; &#; &#x;": "<b> &amp; & \u00acanentity; & &; &#; &#x;",
+        "&#0; &#128; &#x9F; &#129; &#xD800; &#1114112; &#x1F600; &#00065;": "\ufffd \u20ac \u0178 \x81 \ufffd \ufffd \U0001f600 A",
+        "&copy 2020 &copyright &eacutex &NotEqualTilde; &hearts; &bne;": "\u00a9 2020 \u00a9right \u00e9x \u2242\u0338 \u2665 =\u20e5",
+        "AT&T R&D &nbsp&#160;&nbsp;end&": "AT&T R&D end&",
+    }
+    source = warc_derivatives.responses(spark.createDataFrame([(i, "u", x) for i, x in enumerate(want)], "page_id long, url string, html string"), "x")
+    got = {r.page_id: r.block for r in warc_derivatives.derive(source).where("record_type = 'conversion'").collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+    page = '<a href="/a?b=1&copy=2&amp;lt=3&#10;4">x</a>'
+    source = warc_derivatives.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), "x")
+    assert warc_derivatives.derive(source).where("record_type = 'metadata'").first().block == "outlink: /a?b=1&copy=2&lt=3 4\r\n"
 
 
 @pytest.fixture(scope="module")
