@@ -90,8 +90,7 @@ def _decoded_sql(text: str, bare: bool = True) -> str:
 
 
 def _stripped_sql(html: str) -> str:
-    for pattern in warc_derivatives.HIDDEN:
-        html = f"regexp_replace({html}, {_literal(pattern)}, ' ', 'g')"
+    html = f"regexp_replace({html}, {_literal(warc_derivatives.HIDDEN)}, ' ', 'g')"
     return f"regexp_replace(regexp_replace({html}, {_literal(warc_derivatives.BLOCK_TAG)}, chr(10), 'g'), {_literal(warc_derivatives.TAG)}, '', 'g')"
 
 

@@ -9,15 +9,14 @@ expressions over one scan, so nothing is shuffled.
 from __future__ import annotations
 
 import json
-from functools import reduce
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text, and comments.
-HIDDEN = (r"(?s)<!--.*?-->", *(rf"(?is)<{tag}[ >].*?</{tag} *>" for tag in ("script", "style", "noscript", "template")))
-BLOCK_TAG = r"(?i)</?(p|div|br|hr|li|ul|ol|tr|td|th|table|h[1-6]|nav|header|footer|article|section|aside|main|title|head|body|html|blockquote|pre|form|option|dd|dt|dl)\b[^>]*>"
+#: Comments and elements whose content is no text; what opens first hides the others.
+HIDDEN = "(?is)<(?:!--.*?-->|" + "|".join(f"{tag}[ >].*?</{tag} *>" for tag in ("script", "style", "noscript", "template")) + ")"
+BLOCK_TAG = r"(?i)</?(?:p|div|br|hr|li|ul|ol|tr|td|th|table|h[1-6]|nav|header|footer|article|section|aside|main|title|head|body|html|blockquote|pre|form|option|dd|dt|dl)\b[^>]*>"
 #: A tag begins with a letter, a slash or a mark; any other ``<`` is text.
 TAG = r"<[A-Za-z/!?][^>]*>"
 #: The named character references of HTML that end in a semicolon, frequent ones first.
@@ -28,7 +27,7 @@ BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k),
 NUMBERED = {"#0": "\ufffd", **{f"#{n}": c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}}
 # Names first: a look-up goes through the table in order.
 REFERENCES = {k: " " if c == "\xa0" else c for k, c in {**NAMED, **NUMBERED, "#160": " "}.items()}
-REFERENCE = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+REFERENCE = r"^(#0{0,24}[0-9]{1,7}|#[xX]0{0,24}[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 BARE_REFERENCE = f"^({'|'.join(BARE)})"
 CRLF = "\r\n"
 #: Value of an attribute in double, single or no quotes.
@@ -46,33 +45,38 @@ def decoded(text: Column, bare: bool = True) -> Column:
     not decoded again.
     """
     table = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")  # folded to a constant
-    look_up = lambda key: F.try_element_at(table, key)
-    named = lambda x: F.struct(x.alias("x"), F.regexp_extract(x, REFERENCE, 1).alias("ref"))
+    look_up = lambda key: F.try_element_at(table, F.nullif(key, F.lit("")))
+    rest = lambda x, at: F.substr(x, F.length(at) + 1)
 
-    def numbered(p: Column) -> Column:
-        number = F.when(F.lower(F.substring(p["ref"], 1, 2)) == "#x", F.conv(F.substring(p["ref"], 3, 99), 16, 10)).when(F.substring(p["ref"], 1, 1) == "#", F.substring(p["ref"], 2, 99))
-        old = F.regexp_extract(p["x"], BARE_REFERENCE, 1) if bare else F.lit("")
-        return F.struct(p["x"].alias("x"), p["ref"].alias("ref"), number.cast("bigint").alias("number"), F.when(number.isNull(), old).otherwise("").alias("old"))
+    def read(x: Column, i: Column) -> Column:
+        """Only the beginning of a part can be a reference."""
+        return F.struct(x.alias("x"), F.when(i > 0, F.regexp_extract(F.substring(x, 1, 48), REFERENCE, 1)).otherwise("").alias("ref"))
 
-    def resolved(p: Column) -> Column:
-        code = p["number"]
-        own = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        found = F.coalesce(look_up(F.when(code.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(p["ref"])), own)
-        return F.struct(p["x"].alias("x"), found.alias("c"), (F.length(p["ref"]) + 2).alias("behind"), look_up(p["old"]).alias("old"), (F.length(p["old"]) + 1).alias("behind_old"))
+    def meant(p: Column) -> Column:
+        ref = p["ref"]
+        code = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 99), 16, 10)).otherwise(F.substring(ref, 2, 99)).cast("bigint")
+        valid = F.coalesce(look_up(F.concat(F.lit("#"), code.cast("string"))), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        numbered = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").otherwise(valid)
+        return F.struct(p["x"].alias("x"), ref.alias("ref"), F.when(F.startswith(ref, F.lit("#")), numbered).otherwise(look_up(ref)).alias("c"))
 
     def shown(p: Column, i: Column) -> Column:
-        rest = lambda at: F.substr(p["x"], at)
-        return F.when(i == 0, p["x"]).when(p["c"].isNotNull(), F.concat(p["c"], rest(p["behind"]))).when(p["old"].isNotNull(), F.concat(p["old"], rest(p["behind_old"]))).otherwise(F.concat(F.lit("&"), p["x"]))
+        known = F.when(i == 0, p["x"]).when(p["c"].isNotNull(), F.concat(p["c"], F.substr(p["x"], F.length(p["ref"]) + 2)))
+        if bare:
+            old = F.regexp_extract(F.substring(p["x"], 1, 48), BARE_REFERENCE, 1)
+            known = F.coalesce(known, F.concat(look_up(old), rest(p["x"], old)))
+        return F.coalesce(known, F.concat(F.lit("&"), p["x"]))
 
-    parts = F.transform(F.transform(F.transform(F.split(text, "&"), named), numbered), resolved)
-    return F.array_join(F.transform(parts, shown), "")
+    return F.array_join(F.transform(F.transform(F.transform(F.split(text, "&"), read), meant), shown), "")
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: a line per block element, references decoded, runs of blanks as one, no empty lines."""
-    shown = reduce(lambda x, pattern: F.regexp_replace(x, pattern, " "), HIDDEN, html)
-    shown = decoded(F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), TAG, ""))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(shown, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    shown = decoded(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK_TAG, "\n"), TAG, ""))
+    for blank in "\t\r\f":
+        shown = F.replace(shown, F.lit(blank), F.lit(" "))
+    # Only what changes is matched: runs of two or more.
+    shown = F.replace(F.regexp_replace(shown, "  +", " "), F.lit(" \n"), F.lit("\n"))
+    return F.trim(F.regexp_replace(shown, r"\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
@@ -93,6 +97,9 @@ def responses(pages: DataFrame, date: str, key: str = "page_id", url: str = "url
     )
 
 
+HEADER = ("record_id", "target_uri", "date", "http_headers", "payload_digest")
+
+
 def derive(source: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records per response, in the columns of a WARC header, and the block.
 
@@ -103,18 +110,21 @@ def derive(source: DataFrame, key: str = "page_id") -> DataFrame:
     """
     payload = F.col("payload")
     line = lambda x, bare=True: F.trim(F.regexp_replace(decoded(x, bare), r"[ \t\r\n]+", " "))
-    title = line(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1))
-    language = F.concat(*(F.regexp_extract(payload, LANGUAGE, g) for g in (1, 2, 3)))
-    # Of the three groups of a link one is set.
-    groups = F.arrays_zip(*(F.regexp_extract_all(payload, F.lit(LINK), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)))
-    links = F.transform(groups, lambda x: line(F.concat(x["g1"], x["g2"], x["g3"]), bare=False))
+    # What is found ends with the value, whose own quote is not in it.
+    quoted = lambda x, quote: F.rtrim(F.substring_index(x, quote, -2), F.lit(quote))
+    value = lambda x: F.when(F.endswith(x, F.lit('"')), quoted(x, '"')).when(F.endswith(x, F.lit("'")), quoted(x, "'")).otherwise(F.regexp_extract(x, r"=\s*([^\s\"'=<>`]+)$", 1))
+    links = F.transform(F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(0)), value), lambda x: F.when(x.rlike(r"[&\s]"), line(x, bare=False)).otherwise(x))
+    # A select of its own: each is read more than once below.
+    fields = {"__title": line(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1)), "__html": F.regexp_extract(payload, LANGUAGE, 0), "__links": links}
+    source = source.select(F.col(key).alias("__key"), *HEADER, "payload", *(c.alias(name) for name, c in fields.items()))
+    title, language, links = F.col("__title"), value(F.col("__html")), F.col("__links")
     field = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise("")
     outlinks = F.when(F.size(links) > 0, F.concat(F.lit("outlink: "), F.array_join(links, f"{CRLF}outlink: "), F.lit(CRLF))).otherwise("")
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.concat(field("title", title), field("language", language), outlinks).alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(payload).alias("block")),
     )
-    rows = source.select(key, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.explode(made).alias("r"))
+    rows = source.select(F.col("__key").alias(key), F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.explode(made).alias("r"))
     return rows.select(key, record_id(F.col("r.record_type"), F.col("refers_to")).alias("record_id"), "r.record_type", "refers_to", "target_uri", "date", "r.content_type", "source_headers", "source_digest", F.concat(F.lit("sha256:"), F.sha2(F.col("r.block"), 256)).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block")
 
 
