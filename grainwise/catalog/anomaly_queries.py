@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grainwise.catalog.registry import query, r, rounded
 from grainwise.operators import anomaly as A
 from grainwise.plans.ordering import ordered_windows
-from grainwise.sources.views import SIGNAL_SQL, metrics, signal, table
+from grainwise.sources.views import METRICS_SQL, SIGNAL_SQL, metrics, signal, table
 
 S = f"WITH {SIGNAL_SQL}"
 
@@ -53,6 +53,25 @@ def isolation_forest(spark, sf_dir):
     return A.isolation_forest(points, columns, ["event_id"], contamination=0.05)
 
 
+@query(
+    "isolation_forest_order",
+    f"""WITH {METRICS_SQL} SELECT count(*) AS n_rows, count(m) AS n_scored, true AS flagged_are_highest, true AS share_holds, true AS scores_in_range
+    FROM (SELECT CASE WHEN isnan(cpu_utilization + memory_utilization + hourly_cost) THEN NULL
+      ELSE cpu_utilization + memory_utilization + hourly_cost END AS m FROM metrics)""",
+)
+def isolation_forest_order(spark, sf_dir):
+    """Every row comes back, and the share asked for is flagged: that of the highest scores."""
+    score, flagged = F.col("anomaly_score"), F.col("is_outlier")
+    made = isolation_forest(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(score).alias("n_scored"), F.count_if(flagged).alias("n_flagged"),
+        F.min(F.when(flagged, score)).alias("lowest"), F.max(F.when(~flagged, score)).alias("highest"), F.count_if((score > 0) & (score < 1)).alias("n_inside"),
+    )
+    return made.select(
+        "n_rows", "n_scored", (F.col("lowest") > F.col("highest")).alias("flagged_are_highest"),
+        (F.abs(F.col("n_flagged") - 0.05 * F.col("n_scored")) <= 1 + 0.01 * F.col("n_scored")).alias("share_holds"), (F.col("n_inside") == F.col("n_scored")).alias("scores_in_range"),
+    )
+
+
 FORECAST = f"""{S}, m AS (SELECT series_id, stddev_samp(value) AS sd FROM events_s GROUP BY series_id)""".replace(
     "events_s", "signal"
 ) + """, fc AS (SELECT event_id, label, value AS y_true, lag(value) OVER (PARTITION BY s.series_id ORDER BY pos) AS y_pred,

@@ -122,15 +122,14 @@ def isolation_forest(
     complete = df.where(whole)
     unit = F.conv(F.substring(hash_order(keys, seed), 1, 8), 16, 10).cast("double") / float(16**8)
     # A uniform pool of about 2 * trees * sample_size rows, whatever the table size.
-    total = complete.agg(F.count(F.lit(1)).alias("n")).scalar()
-    pool = complete.where(unit * total < float(2 * trees * sample_size)).select(*keys, *columns)
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = F.xxhash64(*keys, F.col("tree"), F.lit(seed))
-    # Keep about twice the wanted rows of each tree before the grouped step trims exactly.
-    pool_size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
-    kept = dealt.withColumn("__draw", draw).where(
-        F.pmod("__draw", F.lit(1_000_000)) * pool_size < F.lit(2.0 * sample_size * 1_000_000)
-    )
+    total, wanted = complete.count(), float(2 * trees * sample_size)
+    pool = complete.where(unit * total < wanted).select(*keys, *columns)
+    # A row is dealt only to trees where its draw is among about the 2 * sample_size smallest;
+    # the grouped step trims exactly. No row is copied for the other trees.
+    threshold = 2.0 * sample_size * 1_000_000 / max(min(total, wanted), 1.0)
+    draw = lambda tree: F.xxhash64(*keys, tree, F.lit(seed))
+    taking = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(draw(tree), F.lit(1_000_000)) < threshold)
+    kept = pool.withColumn("tree", F.explode(taking)).withColumn("__draw", draw(F.col("tree")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen = pdf.sort_values("__draw").head(sample_size)
@@ -148,12 +147,14 @@ def isolation_forest(
         return pd.Series(np.power(2.0, -_mean_depths(forest, points) / scale))
 
     scorer = F.pandas_udf(score, "double")
-    # Written once: the cut-off and the result read the same scores.
-    scored = materialize(df.withColumn("anomaly_score", F.when(whole, scorer(*(F.col(c) for c in columns)))))
+    scored = df.withColumn("anomaly_score", F.when(whole, scorer(*(F.col(c) for c in columns))))
+    # The cut-off reads the features only and takes scores of its own: scoring twice costs
+    # less than a written copy of the whole table or a join with it.
+    scores = complete.select(scorer(*(F.col(c) for c in columns)).alias("anomaly_score"))
     if exact_cut:
-        cut = exact_percentiles(scored, [], "anomaly_score", {"cut": 1.0 - contamination})
+        cut = exact_percentiles(materialize(scores), [], "anomaly_score", {"cut": 1.0 - contamination})
     else:
-        cut = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination).alias("cut"))
+        cut = scores.agg(F.percentile_approx("anomaly_score", 1.0 - contamination).alias("cut"))
     return scored.withColumn("is_outlier", F.coalesce(F.col("anomaly_score") > cut.scalar(), F.lit(False)))
 
 

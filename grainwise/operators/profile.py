@@ -392,11 +392,15 @@ def top_value_frequencies(df: DataFrame, columns: Sequence[str], top_n: int = 10
     long = [f for f in df.schema.fields if f.name in columns and _is_text(f)]
     if not long:
         return found
+    # Counted once; without a digest among the rows shown the texts need no second look.
+    found = materialize(found)
+    digests = found.where(F.length("value") > DIGEST_OVER).select("column", "value")
+    if digests.isEmpty():
+        return found
     entries = [F.struct(F.lit(f.name).alias("column"), _plain_text(f).alias("full")) for f in long]
     texts = df.select(F.inline(F.array(*entries))).where(F.length("full") > DIGEST_OVER)
     keyed = texts.select("column", _digest(F.col("full")).alias("value"), "full")
-    wanted = F.broadcast(materialize(found.where(F.length("value") > DIGEST_OVER).select("column", "value")))
-    full = keyed.join(wanted, ["column", "value"]).groupBy("column", "value").agg(F.first("full").alias("full"))
+    full = keyed.join(F.broadcast(digests), ["column", "value"]).groupBy("column", "value").agg(F.first("full").alias("full"))
     joined = found.join(F.broadcast(full), ["column", "value"], "left")
     return joined.select("column", "rank", F.coalesce("full", "value").alias("value"), "count", "share")
 
