@@ -11,16 +11,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.functions.stats import kolmogorov_tail
+from grainwise.functions.stats import kolmogorov_tail, known
 from grainwise.plans.ordering import exact_percentiles, prefix_sums
-from grainwise.plans.scratch import join_measured, join_on_keys
+from grainwise.plans.scratch import join_measured, join_on_keys, materialize
 
 Pairs = Mapping[str, tuple[str, str]]
 
 
 def _value_counts(df: DataFrame, segment_col: str, value_col: str) -> DataFrame:
+    """Occurrences per segment and value; NULL and NaN are missing."""
     return (
-        df.where(F.col(value_col).isNotNull())
+        df.where(known(value_col).isNotNull())
         .groupBy(F.col(segment_col).alias("segment"), F.col(value_col).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -162,6 +163,10 @@ def density_histogram(df: DataFrame, bins: int = 50, segment_col: str = "segment
     )
 
 
+#: Bandwidths within which a grid point is in reach of a value.
+KERNEL_REACH = 9
+
+
 def gaussian_kde(
     df: DataFrame,
     points: int = 200,
@@ -171,35 +176,36 @@ def gaussian_kde(
 ) -> DataFrame:
     """Gaussian kernel density of each segment on a common grid over the joint range.
 
-    Scott's bandwidth. Equal values are merged first; every distinct value then meets the
-    fixed number of grid points and is summed map-side, so the shuffle carries one row
-    per task and grid point. ``bins`` trades exactness for a fixed amount of work per
-    segment: values are first moved to the centre of one of so many cells of its range.
+    Scott's bandwidth. Equal values are merged first; every distinct value then meets only
+    the grid points within KERNEL_REACH bandwidths, beyond which its kernel is below 1e-17
+    of its peak. As bandwidths fall with the rows, so does the number of those points. Sums
+    are made map-side, so the shuffle carries one row per task and grid point. Points out of
+    every value's reach have density 0; NULL and NaN take no part, constant segments have no
+    density. ``bins`` trades exactness for a fixed amount of work per segment: values are
+    first moved to the centre of one of so many cells of its range.
     """
     counts = _value_counts(df, segment_col, value_col)
     if bins:
         cells = _binned(counts, ["segment"], bins)
         centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
         counts = cells.groupBy("segment", centre.alias("value")).agg(F.sum("n").alias("n"))
-    raw = df.where(F.col(value_col).isNotNull())
-    spread = raw.groupBy(F.col(segment_col).alias("segment")).agg(
-        F.count(F.lit(1)).alias("size"), F.stddev(F.col(value_col).cast("double")).alias("std")
+    value = known(value_col)
+    sizes = df.where(value.isNotNull()).groupBy(F.col(segment_col).alias("segment")).agg(
+        F.count(F.lit(1)).alias("size"), F.stddev(value.cast("double")).alias("std")
     )
     bandwidth = F.col("std") * F.pow(F.col("size").cast("double"), -0.2)
+    spread = materialize(sizes.select("segment", "size", bandwidth.alias("h")).where(F.col("h") > 0))
     grid = counts.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("g")).scalar()
-    step = (grid.getField("hi") - grid.getField("lo")) / (points - 1)
-    placed = (
-        join_measured(counts, spread, ["segment"])
-        .withColumn("h", bandwidth)
-        .where(F.col("h") > 0)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", grid.getField("lo") + F.col("point") * step)
-    )
-    z = (F.col("x") - F.col("value")) / F.col("h")
-    kernel = F.exp(-0.5 * z * z) / (F.col("h") * F.sqrt(2 * F.pi()))
-    return placed.groupBy("segment", "point", "x").agg(
-        (F.sum(kernel * F.col("n")) / F.first("size")).alias("pdf")
-    )
+    lo, step = grid.getField("lo"), (grid.getField("hi") - grid.getField("lo")) / (points - 1)
+    place, reach = (F.col("value") - F.col("lo")) / F.col("step"), KERNEL_REACH * F.col("h") / F.col("step")
+    first = F.greatest(F.ceil(place - reach), F.lit(0)).cast("int")
+    last = F.least(F.floor(place + reach), F.lit(points - 1)).cast("int")
+    met = join_measured(counts, spread, ["segment"]).withColumns({"lo": lo, "step": step}).withColumns({"first": first, "last": last}).where("first <= last")
+    z = (F.col("lo") + F.col("point") * F.col("step") - F.col("value")) / F.col("h")
+    kernel = F.exp(-0.5 * z * z) / (F.col("h") * F.sqrt(2 * F.pi())) * F.col("n")
+    weights = met.withColumn("point", F.explode(F.sequence("first", "last"))).select("segment", "point", kernel.alias("w"), "size")
+    every = spread.select("segment", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), F.lit(0.0).alias("w"), "size")
+    return weights.unionByName(every).groupBy("segment", "point").agg((F.sum("w") / F.first("size")).alias("pdf")).select("segment", "point", (lo + F.col("point") * step).alias("x"), "pdf")
 
 
 def distribution_report(

@@ -472,6 +472,23 @@ def test_backtest_needs_room_for_the_horizon(spark):
     assert got[(2, "naive")] == pytest.approx(1.5) and got[(4, "moving_average")] == pytest.approx(2.0)
 
 
+def test_density_by_reach_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": [*rng.normal(0, 1, 300), 40.0], "b": list(rng.uniform(90, 100, 50)), "same": [5.0] * 4, "one": [7.0]}
+    data = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("a", float("nan")), ("none", None)]
+    got = {(r.segment, r.point): (r.x, r.pdf) for r in D.gaussian_kde(spark.createDataFrame(data, "segment string, value double"), 80).collect()}
+    grid = np.linspace(min(min(v) for v in values.values()), max(max(v) for v in values.values()), 80)
+    assert set(got) == {(k, i) for k in "ab" for i in range(80)}
+    for k in "ab":
+        v = np.array(values[k])
+        h = v.std(ddof=1) * len(v) ** -0.2
+        want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+        assert [got[k, i][0] for i in range(80)] == pytest.approx(list(grid))
+        assert [got[k, i][1] for i in range(80)] == pytest.approx(list(want), rel=1e-9, abs=1e-17)
+    assert min(pdf for _, pdf in got.values()) == 0
+
+
+
 def test_binned_density_is_close_to_the_exact_one(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([("a", float(v)) for v in rng.normal(size=400)], "segment string, value double")
