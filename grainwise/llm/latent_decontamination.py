@@ -2,32 +2,33 @@
 
 1. Word weights. ``idf = log((1 + N) / (1 + df))`` from document frequencies over all
    documents (exact for the words of the benchmark, by hash bucket for all others).
-2. Latent space. The TF-IDF passages of the benchmark are rows of a matrix; a randomised
-   range finder with power steps, whose products are summed over tasks, gives its leading
-   right singular vectors. With no more items in a block than dimensions nothing is reduced,
-   so the cosine of step 3 is the plain TF-IDF cosine; step 4 needs the item's own words anyway.
-3. Candidates. Windows of WINDOW words of every document are compared with the items by the
-   cosine of the projected vectors over the full length of the window's vector. A block has
-   no more items than the space has dimensions, so projected products are the full ones, and
-   a window's product with an item is a sum over its words. Words of few items are summed by
-   item over runs of STRIDE words; words of many items are bounded by their largest share.
-   Only windows that can reach LEAST_COSINE with some item by this are projected.
+2. Latent space. Items are cut into passages of PASSAGE words at most; their TF-IDF vectors are
+   the rows of a matrix. A randomised range finder with power steps, whose products are summed
+   over tasks by word, gives its singular vectors: half as many as there are passages, RANK at
+   most. Words that go together in passages come near each other. Only the passages' side of
+   them is computed and sent; a task makes the words' side from it and the passages.
+3. Candidates. Windows of WINDOW words of every document and the passages are compared by the
+   product of their projected vectors over the lengths of the full ones. What a passage keeps
+   of its length in the space says how much of a cosine of LEAST_COSINE can be seen there.
 4. Check. The longest common subsequence of the item and the window's surroundings must
    cover LEAST_MATCH of the item, or PARAPHRASE of it with the item's answer (its last words)
    there in order.
-5. Pairs far apart. A window's cosine with an item much longer or shorter than it is low
-   whatever they share, so pairs come to the check by two more ways that miss none it would
-   accept: surroundings that hold the answer, and surroundings with as many of the item's
-   rarer words as a subsequence of LEAST_MATCH cannot do without.
-
-Items are taken in blocks of bounded size, so neither the vocabulary of a block nor its
-latent space grows with the benchmark; each block is two passes over the documents.
+5. Pairs that the space misses. A window's cosine with an item much longer or shorter than it
+   is low whatever they share, and a passage may be lost in the reduction. So pairs that have
+   not been accepted come to the check by two more ways that miss none it would accept:
+   surroundings that hold the answer, and surroundings with as many of the item's rarer words
+   as a subsequence of LEAST_MATCH cannot do without.
+
+Items are taken in blocks of bounded size (a longer item is a block of its own), so neither the
+vocabulary of a block nor its latent space grows with the benchmark; each block is two passes
+over the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -41,13 +42,17 @@ from grainwise.llm.tables import share, shared, written
 from grainwise.llm.toxicity import present
 
 WINDOW, STRIDE = 32, 8
-RANK, OVERSAMPLING, POWER_STEPS = 256, 10, 2
+PASSAGE = 2 * WINDOW
+RANK, OVERSAMPLING, POWER_STEPS = 128, 10, 2
 LEAST_COSINE = 0.35
+#: Least product in the latent space, whatever a passage keeps there, and the part of LEAST_COSINE that must be seen.
+LEAST_LATENT, SEEN = 0.12, 0.8
 LEAST_MATCH, PARAPHRASE = 0.7, 0.5
 ANSWER_WORDS = 4
-BLOCK_ITEMS = RANK
-#: Words of more items than this are bounded instead of summed by item.
-FEW_ITEMS = 4
+BLOCK_ITEMS = 256
+BLOCK_WORDS = BLOCK_ITEMS * PASSAGE
+#: Products of windows and passages that a task makes at once.
+PRODUCTS = 1 << 20
 #: Share of an item's words, the rarest, that are counted in the surroundings of a window.
 RARE = 0.6
 #: Buckets of the document frequencies of words outside the benchmark.
@@ -63,17 +68,32 @@ class Items:
     words: np.ndarray  # sorted distinct hashes
     idf: np.ndarray  # of those words
     other_idf: np.ndarray  # by bucket
-    basis: np.ndarray  # words x rank, orthonormal
-    latent: np.ndarray  # items x rank, unit length before projection
-    begin: np.ndarray  # of each word in the two arrays below; words of many items have none there
-    item: np.ndarray
-    product: np.ndarray  # the word's part in the item's product with a window
-    most: np.ndarray  # bound of that part for words of many items, else 0
+    owner: np.ndarray  # item of each passage, ascending
+    begin: np.ndarray  # of each word in the two arrays below
+    passage: np.ndarray
+    value: np.ndarray  # of the word in the passage's vector of unit length
+    latent: np.ndarray  # passages x rank, unit length before projection
+    mixture: np.ndarray  # passages x rank: the sums of passages that are the space's orthonormal vectors
     rare_begin: np.ndarray  # of each word in the next array
     rare_item: np.ndarray  # items that count the word among their rarer ones
     needed: np.ndarray  # places of rarer words without which an item is not matched
     answers: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes of answers, and their items
 
+    @cached_property
+    def projected(self) -> np.ndarray:
+        """Words x rank: a word's own TF-IDF vector in the latent space, and zeros; made where it is used, never sent."""
+        out = np.zeros((len(self.words) + 1, self.mixture.shape[1]), np.float32)
+        for a in range(0, len(self.words), 4096):
+            b = min(a + 4096, len(self.words))
+            x, y = self.begin[a], self.begin[b]
+            out[a:b] = np.add.reduceat(self.value[x:y, None] * self.mixture[self.passage[x:y]], self.begin[a:b] - x, axis=0) * self.idf[a:b, None]
+        return out
+
+    @cached_property
+    def least(self) -> np.ndarray:
+        """Product from which on a window is a candidate, by passage."""
+        return np.maximum(LEAST_LATENT, SEEN * LEAST_COSINE * (self.latent**2).sum(axis=1)).astype(np.float32)
+
 
 def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Blocks of (ids, word hashes) of the items that have words; the driver holds one block at a time."""
@@ -84,7 +104,7 @@ def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[lis
         if len(h):
             ids.append(row.item)
             texts.append(h)
-        if len(ids) == BLOCK_ITEMS:
+        if len(ids) == BLOCK_ITEMS or sum(map(len, texts)) >= BLOCK_WORDS:
             yield ids, texts
             ids, texts = [], []
     if ids:
@@ -113,26 +133,28 @@ def frequencies(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray, np
     return int(total[0]), total[1 : 1 + len(words)], total[1 + len(words) :]
 
 
-def latent_basis(passages: DataFrame, words: int, rank: int) -> np.ndarray:
-    """Leading right singular vectors (words x rank) of the rows (ids, values) of ``passages``."""
+def latent_basis(rows: DataFrame, features: int, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading right singular vectors, features x rank, and their singular values) of the rows (ids, values)."""
 
     def gram(batch: pa.RecordBatch, right: np.ndarray) -> tuple[float, np.ndarray]:
-        lengths = np.diff(batch.column(0).offsets.to_numpy())
-        row = np.repeat(np.arange(batch.num_rows), lengths)
-        feature, value = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
-        a = np.zeros((batch.num_rows, words))
-        np.add.at(a, (row, feature), value)
-        return 0.0, a.T @ (a @ right)
-
-    width = min(words, rank + OVERSAMPLING)
-    basis = np.random.RandomState(7).standard_normal((words, width))
+        total, step = np.zeros(right.shape), max(1, PRODUCTS // features)
+        for k in range(0, batch.num_rows, step):
+            ids, values = batch.column(0).slice(k, step), batch.column(1).slice(k, step)
+            row = np.repeat(np.arange(len(ids)), np.diff(ids.offsets.to_numpy()))
+            a = np.zeros((len(ids), features))
+            np.add.at(a, (row, ids.flatten().to_numpy()), values.flatten().to_numpy())
+            total += a.T @ (a @ right)
+        return 0.0, total
+
+    width = min(features, rank + OVERSAMPLING)
+    basis = np.random.RandomState(7).standard_normal((features, width))
     for _ in range(1 + POWER_STEPS):
-        _, product = summed(passages, gram, basis)
+        _, product = summed(rows, gram, basis)
         basis, _ = np.linalg.qr(product)
-    _, product = summed(passages, gram, basis)
+    _, product = summed(rows, gram, basis)
     values, vectors = np.linalg.eigh(basis.T @ product)
-    leading = np.argsort(-values)[: min(rank, int((values > values.max(initial=0) * 1e-12).sum()))]
-    return basis @ vectors[:, leading]
+    leading = np.argsort(-values)[: min(rank, int((values > values.max(initial=0) * 1e-8).sum()))]
+    return basis @ vectors[:, leading], np.sqrt(values[leading])
 
 
 def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
@@ -177,25 +199,24 @@ def prepared(docs: DataFrame, ids: list[int], texts: list[np.ndarray]) -> Items:
     words = np.unique(np.concatenate(texts))
     n, df, others = frequencies(docs, words)
     idf, other_idf = np.log((1 + n) / (1 + df)) + 1e-6, np.log((1 + n) / (1 + others)) + 1e-6
-    rows = []
-    for h in texts:
-        place, count = np.unique(np.searchsorted(words, h), return_counts=True)
-        value = count * idf[place]
-        rows.append((place.tolist(), (value / np.linalg.norm(value)).tolist()))
-    # A block's passages are few, so a few tasks hold them; each returns one sum of the basis' size.
-    passages = docs.sparkSession.createDataFrame(rows, "ids array<int>, values array<double>").coalesce(2)
-    basis = latent_basis(passages, len(words), min(RANK, len(rows)))
-    latent = np.stack([np.asarray(v) @ basis[p] for p, v in rows])
-    item = np.repeat(np.arange(len(rows)), [len(p) for p, _ in rows])
-    word, product = (np.concatenate([np.asarray(r[k]) for r in rows]) for k in (0, 1))
-    product = product * idf[word]
-    spread = np.bincount(word, minlength=len(words)) > FEW_ITEMS
-    most = np.zeros(len(words))
-    np.maximum.at(most, word[spread[word]], product[spread[word]])
+    owner, word, value = [], [], []
+    for i, h in enumerate(texts):
+        for part in np.array_split(h, -(-len(h) // PASSAGE)):
+            place, count = np.unique(np.searchsorted(words, part), return_counts=True)
+            weight = count * idf[place]
+            owner.append(i)
+            word.append(place)
+            value.append(weight / np.linalg.norm(weight))
+    passage = np.repeat(np.arange(len(owner)), [len(p) for p in word])
+    word, value = np.concatenate(word), np.concatenate(value)
     order = np.argsort(word, kind="stable")
-    order = order[~spread[word[order]]]
+    passage, value = passage[order].astype(np.int32), value[order].astype(np.float32)
     begin = np.searchsorted(word[order], np.arange(len(words) + 1))
-    return Items(ids, texts, words, idf, other_idf, basis.astype(np.float32), latent.astype(np.float32), begin, item[order], product[order], most, *rarer(texts, words, df), endings(texts))
+    # A row for each word of the block: what tasks return and get has passages x rank numbers, however many words there are.
+    rows = pa.table({"ids": pa.LargeListArray.from_arrays(begin, passage).cast(pa.list_(pa.int32())), "values": pa.LargeListArray.from_arrays(begin, value.astype(np.float64)).cast(pa.list_(pa.float64()))})
+    vectors, length = latent_basis(docs.sparkSession.createDataFrame(rows).coalesce(2), len(owner), min(RANK, max(1, len(owner) // 2)))
+    latent, mixture = (vectors * length).astype(np.float32), (vectors / length).astype(np.float32)
+    return Items(ids, texts, words, idf, other_idf, np.array(owner), begin, passage, value, latent, mixture, *rarer(texts, words, df), endings(texts))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -219,8 +240,22 @@ def answered(item: np.ndarray, region: np.ndarray) -> bool:
     return n > 0 and bool(np.logical_and.reduce([region[i : i + n] == w for i, w in enumerate(answer)]).any())
 
 
+def squared_lengths(h: np.ndarray, square: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Squared TF-IDF length of windows h[start:end]; ``square`` is each word's squared weight."""
+    place = start[:, None] + np.arange(WINDOW)
+    inside = place < end[:, None]
+    place = np.minimum(place, len(h) - 1)
+    word, weight = np.where(inside, h[place], 0), np.where(inside, square[place], 0)
+    order = np.argsort(word, axis=1)
+    word, weight = np.take_along_axis(word, order, axis=1), np.take_along_axis(weight, order, axis=1)
+    first = np.ones(word.shape, bool)
+    first[:, 1:] = word[:, 1:] != word[:, :-1]
+    group = np.cumsum(first) - 1
+    return (weight * np.bincount(group)[group].reshape(word.shape)).sum(axis=1)
+
+
 def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int, float]]:
-    """(row, first word of the window, item, cosine) of all windows and items that are close enough.
+    """(row, first word of the window, item, cosine) of all windows and items that are close enough in the latent space, sorted.
 
     Windows begin at every STRIDE-th word of a text until one reaches its end.
     """
@@ -228,56 +263,48 @@ def candidates(h: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, i
     inside = np.flatnonzero(known >= 0)
     if not len(inside):
         return []
-    word = known[inside]
     square = items.other_idf[(h & np.uint64(BUCKETS - 1)).astype(np.int64)] ** 2
-    square[inside] = items.idf[word] ** 2
-    bound = np.zeros(len(h))
-    bound[inside] = items.most[word]
-    total, common = (np.append(0, np.cumsum(x)) for x in (square, bound))
+    square[inside] = items.idf[known[inside]] ** 2
+    total = np.append(0, np.cumsum(square))
 
     size = np.diff(at)
     runs = -(-size // STRIDE)
     run_at = np.append(0, np.cumsum(runs))
     row_of = np.repeat(np.arange(len(size)), runs)
     start = at[row_of] + (np.arange(run_at[-1]) - run_at[row_of]) * STRIDE
-    windows = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
-    is_window = np.arange(run_at[-1]) - run_at[row_of] < windows[row_of]
     end = np.minimum(start + WINDOW, at[row_of + 1])
-    # What the words of few items must add up to for a window to reach the cosine.
-    missing = np.where(is_window, LEAST_COSINE * np.sqrt(total[end] - total[start]) - (common[end] - common[start]), np.inf)
-    depth = WINDOW // STRIDE
-    least = missing.copy()  # over the windows that hold a run
-    for d in range(1, depth):
-        same = row_of[d:] == row_of[:-d]
-        least[d:] = np.where(same, np.minimum(least[d:], missing[:-d]), least[d:])
-
-    row = np.repeat(np.arange(len(size)), size)[inside]
-    run = run_at[row] + (inside - at[row]) // STRIDE
-    count = items.begin[word + 1] - items.begin[word]
-    entry = np.repeat(items.begin[word] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    cell, inverse = np.unique(np.repeat(run, count) * len(items.ids) + items.item[entry], return_inverse=True)
-    added = np.bincount(inverse, weights=items.product[entry], minlength=len(cell))
-    # A window that reaches it holds a run with at least its share.
-    run, near = np.divmod(cell[added * depth >= least[cell // len(items.ids)]], len(items.ids))
-    pairs = np.unique(np.concatenate([(run - d) * len(items.ids) + near for d in range(depth)]))
-    pairs = pairs[(pairs >= 0) & is_window[np.maximum(pairs, 0) // max(1, len(items.ids))]]
-    window = pairs // len(items.ids)
-    reached = np.zeros(len(pairs))
-    for d in range(depth):
-        place = np.minimum(np.searchsorted(cell, pairs + d * len(items.ids)), max(0, len(cell) - 1))
-        hit = (cell[place] == pairs + d * len(items.ids)) & (start[np.minimum(window + d, len(start) - 1)] < end[window])
-        reached += np.where(hit, added[place], 0)
-    may = np.union1d(window[reached >= missing[window]], np.flatnonzero(missing <= 0))
+    windows = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    windows = np.flatnonzero(np.arange(run_at[-1]) - run_at[row_of] < windows[row_of])
+
+    depth, step = WINDOW // STRIDE, max(1, PRODUCTS // len(items.owner))
     found = []
-    for w in may:
-        a, b = start[w], end[w]
-        own = known[a:b]
-        place, n = np.unique(own[own >= 0], return_counts=True)
-        other, m = np.unique(h[a:b][own < 0], return_counts=True)
-        value, rest = n * items.idf[place], m * items.other_idf[(other & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        cosine = items.latent @ (value.astype(np.float32) @ items.basis[place]) / np.sqrt((value**2).sum() + (rest**2).sum())
-        found.extend((int(row_of[w]), int(a), int(i), float(cosine[i])) for i in np.flatnonzero(cosine >= LEAST_COSINE))
-    return found
+    for k in range(0, len(windows), step):
+        own = windows[k : k + step]
+        low, high = own[0], min(own[-1] + depth, len(row_of))
+        sums = np.zeros((high - low, items.latent.shape[1]), np.float32)  # of the words of each run
+        for place in start[low:high] + np.arange(STRIDE)[:, None]:
+            word = np.where(place < at[row_of[low:high] + 1], known[np.minimum(place, len(h) - 1)], -1)
+            sums += items.projected[word]  # the last of them, zeros, for others
+        vector = sums[own - low]
+        for d in range(1, depth):
+            same = row_of[np.minimum(own + d, len(row_of) - 1)] == row_of[own]
+            same &= own + d < len(row_of)
+            vector[same] += sums[own[same] + d - low]
+        product = vector @ items.latent.T
+        # Words that occur twice make a window longer than this, so no near one is missed here.
+        shortest = np.sqrt(np.maximum(total[end[own]] - total[start[own]], 1e-12)).astype(np.float32)
+        near, passage = np.divmod(np.flatnonzero(product >= shortest[:, None] * items.least), len(items.owner))
+        found.append((own[near], passage, product[near, passage]))
+    if not found:
+        return []
+    window, passage, product = (np.concatenate(x) for x in zip(*found, strict=True))
+    distinct, which = np.unique(window, return_inverse=True)
+    cosine = product / np.sqrt(squared_lengths(h, square, start[distinct], end[distinct]) + 1e-12)[which]
+    close = cosine >= items.least[passage]
+    window, item, cosine = window[close], items.owner[passage[close]], cosine[close]
+    order = np.lexsort((-cosine, item, window))  # an item's nearest passage first
+    order = order[np.append(True, (np.diff(window[order]) != 0) | (np.diff(item[order]) != 0))[: len(order)]]
+    return list(zip(row_of[window[order]].tolist(), start[window[order]].tolist(), item[order].tolist(), cosine[order].tolist(), strict=True))
 
 
 def possible(h: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:

@@ -318,3 +318,35 @@ def test_no_leak_is_lost_before_the_check(spark):
                     want.append(i)
                     break
         assert got[d].item_ids == want, d
+
+
+def test_latent_space_is_smaller_than_its_passages(spark):
+    """A text that shares no word with an item is near it by words that go together with its own."""
+    m = latent_decontamination
+    p, q, r = (" ".join(f"{x}{i}" for i in range(10)) for x in "pqr")
+    docs, bench = spark.createDataFrame([(1, p), (2, q), (3, r), (4, "else")], "doc_id long, text string"), spark.createDataFrame([(0, f"{p} {q}"), (1, f"{q} {r}")], "item_id long, text string")
+    (ids, texts), = m.item_blocks(bench, "item_id", "text")
+    items = m.prepared(docs, ids, texts)
+    assert items.latent.shape == (2, 1)
+    h, _, at = tokens.words(*tokens.text_buffer(pa.array([r])), tokens.MARKS)
+    near = {i: cosine for _, _, i, cosine in m.candidates(h, at, items)}
+    assert near[0] == pytest.approx(3 / 2**0.5 / 6, abs=0.01)  # the plain cosine is 0
+    got = {x.doc_id: x for x in m.find_leaks(docs, bench).collect()}
+    assert got[3].cosine == pytest.approx(max(near.values())) and got[4].cosine == 0
+
+
+def test_latent_candidates_hold_most_leaks(spark):
+    m = latent_decontamination
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    (ids, texts), = m.item_blocks(bench, "item_id", "text")
+    items = m.prepared(docs, ids, texts)
+    assert items.latent.shape[1] <= len(items.owner) // 2
+    leaks = {(r.doc_id, i) for r in m.find_leaks(docs, bench).collect() for i in r.item_ids}
+    found = set()
+    for row in docs.select("doc_id", "text").collect():
+        h, _, at = tokens.words(*tokens.text_buffer(pa.array([row.text])), tokens.MARKS)
+        for _, first, i, _ in m.candidates(h, at, items):
+            n = len(texts[i])
+            if m.accepted(texts[i], h[max(0, first - n) : first + m.WINDOW + n])[0]:
+                found.add((row.doc_id, ids[i]))
+    assert found <= leaks and len(leaks) > 5 and len(found) >= 0.9 * len(leaks)
