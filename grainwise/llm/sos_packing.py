@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm import tokens
+from grainwise.llm.toxicity import present
 
 WINDOW = 2048
 PIECE_BYTES = 4 << 20
@@ -50,7 +51,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the words' places in the arrays below
         self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -58,10 +59,10 @@ class WordEncoder:
         odd = [i for i, x in enumerate(texts) if b"0" in x or b"<|" in x]
         apart = set(odd)
         plain = [i for i in range(len(texts)) if i not in apart] if odd else list(range(len(texts)))
-        runs = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
-        joined = [b" 0 ".join([texts[i] for i in run]).decode() for run in runs]
         ids, sizes = [], []
-        for run, found in zip(runs, self.model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        for a in range(0, len(plain), 1000):  # a run's encodings go before the next run's come
+            run = plain[a : a + 1000]
+            (found,) = self.model.encode_batch_fast([b" 0 ".join([texts[i] for i in run]).decode()], add_special_tokens=False)
             part = np.array(found.ids, dtype=np.uint32)
             cut = part == self.mark
             size = np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(part)]])) - 1
@@ -69,7 +70,8 @@ class WordEncoder:
                 raise ValueError("the separator is not a token of its own in this vocabulary")
             ids.append(part[~cut])
             sizes.append(size)
-        for found in self.model.encode_batch_fast([texts[i].decode() for i in odd], add_special_tokens=False):
+        for i in odd:
+            (found,) = self.model.encode_batch_fast([texts[i].decode()], add_special_tokens=False)
             ids.append(np.array(found.ids, dtype=np.uint32))
             sizes.append(np.array([len(ids[-1])]))
         return plain + odd, np.concatenate(ids), np.concatenate(sizes)
@@ -78,33 +80,34 @@ class WordEncoder:
         """The ids of each row."""
         parts, firsts, ends = [], [], []
         a, rows = 0, len(offsets) - 1
-        at = [np.zeros(1, np.int64)]
+        word_at = [np.zeros(1, np.int64)]
         while a < rows:
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + tokens.CHUNK_BYTES, side="right")) - 1)
             h, s, o = tokens.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cut_marks=True)
             parts.append(h)
             firsts.append(s + offsets[a])
             ends.append(np.minimum(np.append(s[1:], offsets[b] - offsets[a]), np.repeat(offsets[a + 1 : b + 1] - offsets[a], np.diff(o))) + offsets[a])
-            at.append(o[1:] + at[-1][-1])
+            word_at.append(o[1:] + word_at[-1][-1])
             a = b
-        hashes, first, end, word_at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts, firsts, ends, at))
+        hashes, first, end, word_at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts, firsts, ends, word_at))
         if not len(hashes):
             return [np.zeros(0, np.uint32)] * rows
         if len(self.known) > CACHE_WORDS:
             self.forget()
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        at = np.searchsorted(self.known, unique)
+        new = np.flatnonzero(present(unique, self.known) < 0)
+        if len(new):
             raw = data.tobytes()
             begin, stop = first[where[new]].tolist(), end[where[new]].tolist()
             order, ids, size = self._encode([raw[a:b].rstrip(b" \t\n\r\x0b\x0c") for a, b in zip(begin, stop, strict=True)])
             self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)
             self.ids = np.append(self.ids, ids)
-            n = len(self.known)
-            self.known.update((keys[new[i]], n + j) for j, i in enumerate(order))
-        index = np.array([self.known[k] for k in keys])[inverse]
+            place = np.empty(len(new), np.int64)
+            place[order] = len(self.known) + np.arange(len(new))
+            self.known, self.place = np.insert(self.known, at[new], unique[new]), np.insert(self.place, at[new], place)
+        index = self.place[np.searchsorted(self.known, unique)][inverse]
         size = self.size[index]
         ends_at = np.cumsum(size)
         flat = self.ids[np.arange(ends_at[-1]) + np.repeat(self.begin[index] - ends_at + size, size)]

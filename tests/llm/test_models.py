@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -350,3 +351,12 @@ def test_latent_candidates_hold_most_leaks(spark):
             if m.accepted(texts[i], h[max(0, first - n) : first + m.WINDOW + n])[0]:
                 found.add((row.doc_id, ids[i]))
     assert found <= leaks and len(leaks) > 5 and len(found) >= 0.9 * len(leaks)
+
+
+def test_block_sent_to_tasks_is_small(spark):
+    """No matrix of words and dimensions passes through the driver."""
+    m = latent_decontamination
+    docs, bench = (spark.read.parquet(f"/root/testdata/{t}.parquet") for t in ("sf0.001/documents", "sf0.1/benchmark"))
+    (ids, texts), = m.item_blocks(bench, "item_id", "text")
+    items = m.prepared(docs, ids, texts)
+    assert len(items.words) > 3000 and len(pickle.dumps(items)) < 1_500_000

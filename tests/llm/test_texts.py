@@ -242,3 +242,21 @@ def test_pipeline_run_is_its_stages(spark, sf, staged):
     got = corpus_pipeline.run(spark, sf)
     assert got.groupBy("doc_id").agg({"length": "sum"}).count() == staged[-1][2].select("doc_id").distinct().count()
     assert set(columns) <= set(got.columns)
+
+
+def test_encoder_holds_the_encodings_of_one_run():
+    """Words by the thousand, more than are remembered and again, give the ids of the library."""
+    encode = sos_packing.WordEncoder(VOCABULARY)
+    whole, sizes = encode.model, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **rest):
+            sizes.append(len(texts))
+            return whole.encode_batch_fast(texts, **rest)
+
+    encode.model = Counted()
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(a, a + 3000)) + " 10 <|x|>" for a in (0, 2000, 0)]
+    for part in (texts, texts[::-1]):
+        got = encode(*tokens.text_buffer(pa.array(part)))
+        assert [x.tolist() for x in got] == [x.ids for x in whole.encode_batch(part, add_special_tokens=False)]
+    assert len(sizes) > 5 and max(sizes) == 1
